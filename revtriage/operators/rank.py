@@ -56,7 +56,9 @@ def hash_rank(
         offsets = offsets.join(quota.select(*group_cols, quota_col), group_cols, "inner").where(
             F.col("_before") < F.col(quota_col)
         )
-    offsets = offsets.drop("_n")
+    # Small (≤ groups × 16**digits rows): cached so the size check and the
+    # join read one computation.
+    offsets = offsets.drop("_n").persist()
     n_offsets = offsets.count()
     if n_offsets <= BROADCAST_MAX_ROWS:
         offsets = F.broadcast(offsets)

@@ -201,6 +201,8 @@ SELECT l.review_id, l.rating,
   {r6('CASE WHEN l.rating <= 3 THEN p.confidence END', 'confidence')}
 FROM live l LEFT JOIN lv_pred p ON l.review_id = p.review_id"""
     out["m9a_triage"] = V + triage
+    # The streaming triage writes the same rows as the batch triage.
+    out["t1_stream_triage"] = out["m9a_triage"]
     out["a5_triage_summary"] = V + f""",
 t AS ({triage})
 SELECT count(*) AS total, count(*) FILTER (WHERE sentiment = '{config.SENTIMENT_NEEDS_REVIEW}') AS needs_review,

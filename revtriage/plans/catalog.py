@@ -118,7 +118,7 @@ def class_split(spark, d) -> DataFrame:
 
 
 def training_dataset(spark, d, balance: bool):
-    split = class_split(spark, d)
+    split = class_split(spark, d).persist()
     test = split.where(F.col("dataset_role") == "testing_manual")
     train = split.where(F.col("dataset_role") == "training")
     held_out = load_labelled_dataset(test, S.CLASS_LABELS, apply_balancing=False)

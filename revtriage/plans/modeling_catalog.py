@@ -39,7 +39,7 @@ def lang_master(spark, d) -> DataFrame:
 
 
 def lang_datasets(spark, d, balance: bool = True):
-    split = stratified_split(lang_master(spark, d), SPLIT_TEST_FRACTION, "label", ["review_id"], SEED)
+    split = stratified_split(lang_master(spark, d), SPLIT_TEST_FRACTION, "label", ["review_id"], SEED).persist()
     test = load_labelled_dataset(
         split.where(F.col("dataset_role") == "testing_manual"), S.LANG_LABELS, apply_balancing=False, order_col="review_id"
     )
