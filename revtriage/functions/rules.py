@@ -20,6 +20,19 @@ from ..config import RuleSet, TermVocabulary
 from .text import _c, rule_clean, token_set
 
 
+def fence(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Emit computed columns through a one-row ``inline`` (a Generate).
+
+    A filter on a projected alias is pushed below the projection by
+    substituting the alias, which would repeat an expensive expression (text
+    cleaning, word sets) once per reference.  Predicates on generated
+    columns stay above the Generate, so the scores are computed once."""
+    order = list(df.columns)
+    others = [c for c in order if c not in cols]
+    out = df.select(*others, F.inline(F.array(F.struct(*[F.col(c) for c in cols]))))
+    return out.select(*order)
+
+
 def _sum(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, cols) if cols else F.lit(0)
 
@@ -101,7 +114,8 @@ def score_rows(df: DataFrame, ruleset: RuleSet, text_col: str = "text", prefix:
         "suggested_label",
         F.when(F.col("review_status") == "high_confidence_rule_match", lab).otherwise(F.lit(None).cast("string")),
     ).withColumn("rule_score", t)
-    return x.select(*df.columns, "suggested_label", "rule_score", "review_status")
+    out = x.select(*df.columns, "suggested_label", "rule_score", "review_status")
+    return fence(out, ["suggested_label", "rule_score", "review_status"])
 
 
 def vocabulary_rows(df: DataFrame, vocab: TermVocabulary, text_col: str = "text", prefix: str = "_v") -> DataFrame:
@@ -111,7 +125,7 @@ def vocabulary_rows(df: DataFrame, vocab: TermVocabulary, text_col: str = "text"
     n, w = F.col(norm), F.col(words)
     x = x.withColumn("score", term_score(n, w, vocab.phrases, vocab.tokens, vocab.phrase_weight, vocab.token_weight))
     x = x.withColumn("matched_terms", matched_terms(n, w, vocab.phrases, vocab.tokens))
-    return x.drop(norm, words)
+    return fence(x.drop(norm, words), ["score", "matched_terms"])
 
 
 def weak_label(norm_col, ruleset: RuleSet) -> Column:
