@@ -73,12 +73,27 @@ def terms_of(kept: Column, ngram_max: int) -> Column:
     return F.when(kept == "", F.array().cast("array<string>")).otherwise(out)
 
 
+def letters_only(text_col) -> Column:
+    """Lower-cased letters with every run of non-letters as one space."""
+    c = F.col(text_col) if isinstance(text_col, str) else text_col
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}]+", " "))
+
+
+def char_terms(kept: Column, n: int) -> Column:
+    """All character n-grams (windows of n characters) of a text."""
+    return F.regexp_extract_all(kept, F.lit("(?=(.{%d}))" % n), F.lit(1))
+
+
 def term_counts(df: DataFrame, id_col: str, clean_col: str, params: TfidfParams, keep: list[str] | None = None) -> DataFrame:
     """(id, *keep, term, tf) for every term occurrence of every document.
 
     The filtered text is its own projection, so the regex runs once per
     document even though the term list reads it twice."""
     keep = keep or []
+    if params.analyzer == "char":
+        x = df.select(id_col, *keep, letters_only(clean_col).alias("_kept"))
+        x = x.select(id_col, *keep, F.explode(char_terms(F.col("_kept"), params.char_n)).alias("term"))
+        return x.groupBy(id_col, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
     x = df.select(id_col, *keep, filtered_text(clean_col, stop_words_of(params)).alias("_kept"))
     x = x.select(id_col, *keep, F.explode(terms_of(F.col("_kept"), params.ngram_max)).alias("term"))
     return x.groupBy(id_col, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))

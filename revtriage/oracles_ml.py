@@ -71,6 +71,14 @@ def stop_list(params: TfidfParams) -> str:
 
 
 def tf_cte(docs: str, id_col: str, params: TfidfParams) -> str:
+    if params.analyzer == "char":
+        n = params.char_n
+        kept = r"trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}]+', ' ', 'g'))"
+        grams = f"list_transform(range(1, length(k) - {n} + 2), lambda i: substring(k, i, {n}))"
+        return (
+            f"SELECT {id_col}, term, count(*) AS tf FROM (SELECT {id_col}, unnest({grams}) AS term FROM "
+            f"(SELECT {id_col}, {kept} AS k FROM {docs}) a) b GROUP BY {id_col}, term"
+        )
     words = f"list_filter(string_split(clean_text, ' '), lambda w: length(w) >= 2 AND NOT list_contains({stop_list(params)}, w))"
     grams = ["words"]
     for n in range(2, params.ngram_max + 1):
@@ -220,6 +228,14 @@ FROM te_data d JOIN te_pred p ON d.review_id = p.review_id LEFT JOIN ex_top t ON
     names_txt_bal = " || ',' || ".join(
         f"'{l}:' || CAST(coalesce((SELECT count(*) FROM tr_data WHERE label = {q(l)}), 0) AS VARCHAR)" for l in names
     )
+    from .models.language import PROFILE_PARAMS
+
+    P1 = lang_ctes() + nb_ctes(alpha=0.5, fit_prior=False, params=PROFILE_PARAMS) + nb_score_ctes("l1", "te_data", 0.5, PROFILE_PARAMS)
+    letters = r"trim(regexp_replace(lower(coalesce(d.text, '')), '[^\p{L}]+', ' ', 'g'))"
+    out["l1_language_predict"] = P1 + f"""
+SELECT d.review_id, d.label, CASE WHEN {letters} <> '' THEN p.prediction END AS detected_lang,
+  coalesce({letters} <> '' AND p.prediction = 'en', FALSE) AS is_english
+FROM te_data d JOIN l1_pred p ON d.review_id = p.review_id"""
     out["m15a_prepare_summary"] = lang_ctes() + f""",
 pre AS (SELECT count(*) AS o, count(*) FILTER (WHERE label_raw IS NOT NULL AND text_raw IS NOT NULL) AS a,
    count(*) FILTER (WHERE label_raw IS NOT NULL AND text_raw IS NOT NULL AND label IS NOT NULL) AS b,

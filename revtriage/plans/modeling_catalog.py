@@ -165,6 +165,17 @@ def q_m10_explain(spark, d):
     )
 
 
+def q_l1_language_predict(spark, d):
+    """L1: language profile trained on the (balanced) training rows, applied
+    to the held-out rows."""
+    from ..models import language as LANG
+
+    train, test = lang_datasets(spark, d)
+    profile = LANG.fit_profile(train.data)
+    out = LANG.detect(profile, test.data)
+    return out.select("review_id", "label", "detected_lang", "is_english")
+
+
 def q_m15a_prepare_summary(spark, d):
     """Held-out first, training decontaminated by it, balanced."""
     train, test = lang_datasets(spark, d)
@@ -188,6 +199,7 @@ def registry() -> dict:
         "a5_triage_summary": q_a5_triage_summary,
         "m10_explain": q_m10_explain,
         "m15a_prepare_summary": q_m15a_prepare_summary,
+        "l1_language_predict": q_l1_language_predict,
     }
     try:
         from . import ml_catalog
