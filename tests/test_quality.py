@@ -80,3 +80,22 @@ def test_triage_scores_only_complaints(spark):
     assert seen[0].count() == 2
     s = triage_summary(triage(reviews, stub)).first()
     assert (s.total, s.needs_review, s.positive) == (4, 2, 2)
+
+
+def test_sinks_roundtrip(spark, tmp_path):
+    from revtriage.sinks.writers import read_version, split_summary_markdown, write_csv, write_split, write_version
+    from revtriage.sources.files import read_csv
+
+    df = spark.createDataFrame([(1, 'a "quoted"\nline', "x"), (2, "b", "y")], "review_id int, text string, label string")
+    write_csv(df, str(tmp_path / "csv"))
+    back = read_csv(spark, str(tmp_path / "csv"))
+    assert sorted(r.text for r in back.collect()) == ['a "quoted"\nline', "b"]
+    split = df.withColumn("dataset_role", F.when(F.col("review_id") == 1, "training").otherwise("testing_manual"))
+    write_split(split, str(tmp_path / "split"))
+    assert spark.read.parquet(str(tmp_path / "split")).count() == 2
+    write_version(df, str(tmp_path / "tbl"))
+    cur = read_version(spark, str(tmp_path / "tbl"))
+    write_version(cur.where("review_id = 1"), str(tmp_path / "tbl"))
+    assert read_version(spark, str(tmp_path / "tbl")).count() == 1
+    md = split_summary_markdown(split, "master.csv")
+    assert "- Training rows: 1" in md and "| `y` | 1 |" in md
