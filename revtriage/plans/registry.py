@@ -9,6 +9,9 @@ from . import catalog
 def _with_checkpoint(fn):
     def run(spark, sf_dir):
         ensure_checkpoint_dir(spark)
+        # Queries run one after another in one session: tables cached by the
+        # previous query (already collected) are released first.
+        spark.catalog.clearCache()
         return fn(spark, sf_dir)
 
     run.__name__ = fn.__name__
