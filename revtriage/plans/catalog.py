@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
+from ..session import cut_lineage
 from ..functions import text as T
 from ..operators import aggregate as A
 from ..operators import ingest as ING
@@ -118,7 +119,7 @@ def class_split(spark, d) -> DataFrame:
 
 
 def training_dataset(spark, d, balance: bool):
-    split = class_split(spark, d).persist()
+    split = cut_lineage(class_split(spark, d))
     test = split.where(F.col("dataset_role") == "testing_manual")
     train = split.where(F.col("dataset_role") == "training")
     held_out = load_labelled_dataset(test, S.CLASS_LABELS, apply_balancing=False)

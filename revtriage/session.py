@@ -56,3 +56,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def cut_lineage(df):
+    """Materialise ``df`` into the shared checkpoint folder and return it
+    with its lineage cut: later jobs read the written table, executor loss
+    does not replay the upstream plan, and plans stay small."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
