@@ -98,8 +98,12 @@ def fit(
     vectorizer: TF.TfidfModel | None = None,
 ) -> NaiveBayesModel:
     docs = train.select(id_col, F.col(label_col).alias("label"), clean_col)
-    vec = vectorizer or TF.fit(docs, id_col, clean_col, params)
-    x = vec.transform(docs, id_col, clean_col, keep=["label"])
+    if vectorizer is None:
+        # One tokenisation feeds the vocabulary and the training weights.
+        vec, x = TF.fit_transform(docs, id_col, clean_col, params, keep=["label"])
+    else:
+        vec = vectorizer
+        x = vec.transform(docs, id_col, clean_col, keep=["label"])
     sums = x.groupBy("label", "term").agg(F.sum("weight").alias("s")).persist()
     # One row per class: document count and weight total.
     per_class = {r["label"]: (int(r["n"]), 0.0) for r in docs.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}

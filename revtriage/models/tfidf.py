@@ -112,8 +112,11 @@ class TfidfModel:
 
     def transform(self, df: DataFrame, id_col: str, clean_col: str = "clean_text", keep: list[str] | None = None) -> DataFrame:
         """Long form (id, *keep, term, weight) over the fitted vocabulary."""
+        return self.weights(term_counts(df, id_col, clean_col, self.params, keep), id_col, keep)
+
+    def weights(self, tf: DataFrame, id_col: str, keep: list[str] | None = None) -> DataFrame:
+        """Long-form weights from term counts (id, *keep, term, tf)."""
         keep = keep or []
-        tf = term_counts(df, id_col, clean_col, self.params, keep)
         x = tf.join(self.vocab_side(), "term", "inner")
         tfw = (F.lit(1.0) + F.log(F.col("tf"))) if self.params.sublinear_tf else F.col("tf").cast("double")
         x = x.withColumn("w", tfw * F.col("idf"))
@@ -125,10 +128,8 @@ class TfidfModel:
         return x.select(id_col, *keep, "term", "weight")
 
 
-def fit(df: DataFrame, id_col: str, clean_col: str = "clean_text", params: TfidfParams = TfidfParams()) -> TfidfModel:
-    """Vocabulary and idf from the documents of ``df`` (the training side)."""
-    n_docs = df.count()
-    tf = term_counts(df, id_col, clean_col, params)
+def fit_counts(tf: DataFrame, n_docs: int, params: TfidfParams) -> TfidfModel:
+    """Vocabulary and idf from term counts (one row per document and term)."""
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     lo = params.min_df * n_docs if isinstance(params.min_df, float) else params.min_df
     hi = params.max_df * n_docs if isinstance(params.max_df, float) else params.max_df
@@ -143,6 +144,21 @@ def fit(df: DataFrame, id_col: str, clean_col: str = "clean_text", params: Tfidf
     return TfidfModel(vocab, n_docs, vocab_size, params)
 
 
+def fit(df: DataFrame, id_col: str, clean_col: str = "clean_text", params: TfidfParams = TfidfParams()) -> TfidfModel:
+    """Vocabulary and idf from the documents of ``df`` (the training side)."""
+    return fit_counts(term_counts(df, id_col, clean_col, params), df.count(), params)
+
+
+def fit_transform(df: DataFrame, id_col: str, clean_col: str = "clean_text", params: TfidfParams = TfidfParams(),
+                  keep: list[str] | None = None) -> tuple[TfidfModel, DataFrame]:
+    """Fit on ``df`` and weight the same documents from one tokenisation:
+    the term counts are computed once and feed both the document
+    frequencies and the weights."""
+    tf = term_counts(df, id_col, clean_col, params, keep).persist()
+    model = fit_counts(tf, df.count(), params)
+    return model, model.weights(tf, id_col, keep)
+
+
 def top_terms(weights: DataFrame, id_col: str, k: int = 5, digits: int = 9) -> DataFrame:
     """The k strongest terms per document, weight desc then term.
 
