@@ -384,5 +384,6 @@ SELECT review_id, rating, thumbs_up FROM (
     ) a WHERE rk <= 200
   ) b WHERE text <> ''
 ) c WHERE rk2 = 1 AND lang = 'en'"""
+    out["s2_csv_roundtrip"] = "SELECT doc_id, text, lang, source FROM documents"
     out["t2_stream_dedup"] = "SELECT DISTINCT user_id, event_type FROM events"
     return out

@@ -279,6 +279,23 @@ def q_s8_live_ingest(spark, d):
     return x.select("review_id", "rating", "thumbs_up")
 
 
+def q_s2_csv_roundtrip(spark, d):
+    """``documents`` landed as quoted multi-line CSV in two
+    encodings (rows whose text is Latin-1 encodable and not English in
+    ISO-8859-1, the rest UTF-8), read back with per-file encoding detection."""
+    from ..session import scratch_path
+    from ..sinks.writers import write_csv
+    from ..sources.files import read_csv_any_encoding
+
+    docs = S.table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    latin = (F.decode(F.encode("text", "ISO-8859-1"), "ISO-8859-1") == F.col("text")) & (F.col("lang") != "en")
+    base = scratch_path(spark, "s2_csv")
+    write_csv(docs.where(latin), base + "/latin1", encoding="ISO-8859-1")
+    write_csv(docs.where(~latin), base + "/utf8")
+    back = read_csv_any_encoding(spark, [base + "/latin1", base + "/utf8"])
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
+
+
 def registry() -> dict:
     return {
         "p1_trim_cut": q_p1_trim_cut,
@@ -314,4 +331,5 @@ def registry() -> dict:
         "p4_label_ready": q_p4_label_ready,
         "s7_newest_per_user": q_s7_newest_per_user,
         "s8_live_ingest": q_s8_live_ingest,
+        "s2_csv_roundtrip": q_s2_csv_roundtrip,
     }

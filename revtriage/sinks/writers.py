@@ -12,17 +12,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CSV_WRITE = {"header": "true", "escape": '"', "quote": '"'}
+CSV_WRITE = {
+    "header": "true", "escape": '"', "quote": '"',
+    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
     """K1/K7: CSV with header, overwrite; a folder of part files (no BOM)."""
-    df.write.mode("overwrite").options(**CSV_WRITE).csv(path)
+    df.write.mode("overwrite").options(**CSV_WRITE).option("encoding", encoding).csv(path)
 
 
 def write_split(split: DataFrame, path: str, fmt: str = "parquet", role_col: str = "dataset_role", order_col: str = "review_id") -> None:
-    """One folder per role, rows sorted by id inside each file."""
-    split.repartition(role_col).sortWithinPartitions(order_col).write.mode("overwrite").partitionBy(role_col).format(fmt).save(path)
+    """One folder per role, rows sorted by id inside each file.
+
+    No shuffle by role: a role holds most rows, so every task writes its own
+    file per role (sorted within the task) instead of one task per role."""
+    split.sortWithinPartitions(role_col, order_col).write.mode("overwrite").partitionBy(role_col).format(fmt).save(path)
 
 
 POINTER = "_CURRENT"
