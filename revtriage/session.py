@@ -63,4 +63,9 @@ def cut_lineage(df):
     with its lineage cut: later jobs read the written table, executor loss
     does not replay the upstream plan, and plans stay small."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # A reliable checkpoint runs the plan once for the eager count and once
+    # more to write the files unless the rows are cached: cache, write, drop.
+    cached = df.persist()
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
