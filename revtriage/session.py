@@ -36,8 +36,10 @@ def build_session(master: str | None = None, app_name: str = "revtriage", extra:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the session.
 
-    The cluster names it in ``spark.checkpoint.dir``; it is only invented here
-    (under the local temp folder) when the session has none, as in tests.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a session on one
+    machine (``local[...]``, as in tests) may go without: it gets a folder of
+    its own.  Anywhere else a missing setting is an error, since a folder of
+    the driver's disk is not seen by the executors.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -45,6 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="revtriage-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
