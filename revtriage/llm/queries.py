@@ -10,14 +10,29 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sql
 from .common import table
 from .exact_dedup import exact_dedup
+from .quality import judge_quality
+from .sharding import hilbert_shards
+from .token_counts import token_counts
 
 
 def op4_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_shards(table(spark, sf_dir, "documents"))
+
+
+def op7_rank_synchronous_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op9_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_block_naming_dedup]
+    found = [op4_block_naming_dedup, op6_hilbert_sharding, op7_rank_synchronous_counts, op9_weak_supervision_quality]
     return {f.__name__: f for f in found}
 
 
