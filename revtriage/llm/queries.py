@@ -9,16 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
 from .common import table
+from .dac import token_files
 from .exact_dedup import exact_dedup
+from .packing import best_fit_packing
 from .quality import judge_quality
+from .sentencepiece_encode import encode_with_spans, span_digest
 from .sharding import hilbert_shards
 from .token_counts import token_counts
 
 
+def op2_addressable_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(encode_with_spans(table(spark, sf_dir, "documents")))
+
+
 def op6_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(table(spark, sf_dir, "documents"))
 
@@ -27,12 +38,24 @@ def op7_rank_synchronous_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"))
+
+
 def op9_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_block_naming_dedup, op6_hilbert_sharding, op7_rank_synchronous_counts, op9_weak_supervision_quality]
+    found = [
+        op2_addressable_token_files,
+        op4_block_naming_dedup,
+        op5_sentencepiece_spans,
+        op6_hilbert_sharding,
+        op7_rank_synchronous_counts,
+        op8_best_fit_packing,
+        op9_weak_supervision_quality,
+    ]
     return {f.__name__: f for f in found}
 
 

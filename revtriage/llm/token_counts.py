@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
 from .units import SPACE_MARK, Memo, file_of, run_units, slices
 
 LONG = 256
@@ -204,5 +205,5 @@ def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: st
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(sizes, pa.int64()), pa.array(count_texts(texts, memo), pa.int64())], ["_id", "n_bytes", "n_tokens"])
 
     id_type = src.schema["_id"].dataType.simpleString()
-    out = src.mapInArrow(count, f"_id {id_type}, n_bytes bigint, n_tokens bigint")
+    out = map_arrow(src, count, f"_id {id_type}, n_bytes bigint, n_tokens bigint")
     return out.select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
