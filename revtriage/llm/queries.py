@@ -12,10 +12,12 @@ from .common import table
 from .dac import token_files
 from .exact_dedup import exact_dedup
 from .packing import best_fit_packing
+from .pii import replace_pii
 from .quality import judge_quality
 from .sentencepiece_encode import encode_with_spans, span_digest
 from .sharding import hilbert_shards
 from .token_counts import token_counts
+from .warc_zip import warc_round_trip
 
 
 def op2_addressable_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,15 +48,25 @@ def op9_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op3_zip_packaged_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+def op10_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op2_addressable_token_files,
+        op3_zip_packaged_warc,
         op4_block_naming_dedup,
         op5_sentencepiece_spans,
         op6_hilbert_sharding,
         op7_rank_synchronous_counts,
         op8_best_fit_packing,
         op9_weak_supervision_quality,
+        op10_surrogate_pii,
     ]
     return {f.__name__: f for f in found}
 
