@@ -11,6 +11,7 @@ from . import sql
 from .common import table
 from .dac import token_files
 from .exact_dedup import exact_dedup
+from .ngram_join import jaccard_components
 from .packing import best_fit_packing
 from .pii import replace_pii
 from .quality import judge_quality
@@ -20,6 +21,10 @@ from .token_counts import token_counts
 from .warc_zip import warc_round_trip
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op2_addressable_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark, table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ def op10_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
+        op1_ngram_jaccard_join,
         op2_addressable_token_files,
         op3_zip_packaged_warc,
         op4_block_naming_dedup,
