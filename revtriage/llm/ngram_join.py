@@ -70,7 +70,7 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 
     if len(_WORDS) > 500_000:
         _WORDS.clear()
-    for w in set(words) - _WORDS.keys():
+    for w in set(words).difference(_WORDS):
         _WORDS[w] = xxhash.xxh3_64_intdigest(w)
     return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
 
@@ -122,7 +122,7 @@ def fragment_pieces(docs: DataFrame, text_col: str, n: int, fragments: int) -> D
     names = ["fragment", "classes", "counts", "grams"]
 
     def cut(sets: dict[bytes, np.ndarray]):
-        keys = np.frombuffer(b"".join(sets), "V16")
+        keys = np.frombuffer(b"".join(sets), "<i8").reshape(-1, 2)
         grams = np.concatenate(list(sets.values()))
         owner = np.repeat(np.arange(len(keys)), [len(s) for s in sets.values()])
         part = ((grams >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
@@ -162,12 +162,12 @@ def fragment_pieces(docs: DataFrame, text_col: str, n: int, fragments: int) -> D
 
 def shared_in_fragment(pieces: pd.DataFrame) -> pd.DataFrame:
     """s1, s2, shared: n-grams of one fragment that occur in two classes or more, per class."""
-    keys = np.frombuffer(b"".join(pieces["classes"]), "V16")
+    keys = np.frombuffer(b"".join(pieces["classes"]), "<i8").reshape(-1, 2)
     counts = np.frombuffer(b"".join(pieces["counts"]), "<u4").astype(np.int64)
     grams = np.frombuffer(b"".join(pieces["grams"]), "<u4")
-    _, firsts = np.unique(keys, return_index=True)  # a class may come from several runs
-    keep = np.zeros(len(keys), bool)
-    keep[firsts] = True
+    by_key = np.lexsort((keys[:, 1], keys[:, 0]))  # a class may come from several runs
+    keep = np.ones(len(keys), bool)
+    keep[by_key[1:]] = (keys[by_key[1:]] != keys[by_key[:-1]]).any(axis=1)
     grams = grams[np.repeat(keep, counts)]
     keys, counts = keys[keep], counts[keep]
     order = np.argsort(grams, kind="stable")
@@ -177,9 +177,8 @@ def shared_in_fragment(pieces: pd.DataFrame) -> pd.DataFrame:
     shared = np.zeros(len(grams), np.int64)
     shared[order] = twice
     per_class = np.add.reduceat(shared, np.cumsum(counts) - counts) if len(counts) else counts
-    halves = np.frombuffer(keys.tobytes(), "<i8").reshape(-1, 2)
     hit = per_class > 0
-    return pd.DataFrame({"s1": halves[hit, 0], "s2": halves[hit, 1], "shared": per_class[hit]})
+    return pd.DataFrame({"s1": keys[hit, 0], "s2": keys[hit, 1], "shared": per_class[hit]})
 
 
 def gram_rows(holders: DataFrame, n: int) -> DataFrame:

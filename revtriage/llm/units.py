@@ -59,7 +59,7 @@ class Memo:
         if len(self.new) > self.cap:
             self.old, self.new = self.new, {}
         new, old, unknown = self.new, self.old, []
-        for u in units - new.keys():
+        for u in units.difference(new):
             seen = old.get(u)
             if seen is None:
                 unknown.append(u)
