@@ -52,9 +52,9 @@ def _blocks(block_bytes: int) -> Column:
     )
 
 
-def name_documents(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, bits: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(rows, names): ``rows`` has _rid, _id, _sha per input row; ``names`` has _rid, _level, _name."""
-    src = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).cast("binary").alias("_b"))
+def name_documents(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, bits: int = 64, carry: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, names): ``rows`` has _rid, _id, _sha and _carry per input row; ``names`` has _rid, _level, _name."""
+    src = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).cast("binary").alias("_b"), (F.col(carry) if carry else F.lit(0)).alias("_carry"))
     for seed in range(MAX_SEEDS):
         block = F.col("_block")
         distinct = src.select(F.explode(_blocks(block_bytes)).alias("_block")).select(*_fingerprints(block, seed, bits), block).distinct()
@@ -65,7 +65,7 @@ def name_documents(docs: DataFrame, id_col: str, text_col: str, block_bytes: int
     else:
         raise RuntimeError("distinct blocks kept sharing keys")
     fps = F.transform(_blocks(block_bytes), lambda x: F.struct(*_fingerprints(x, seed, bits)))
-    rows = materialise(src.select(F.monotonically_increasing_id().alias("_rid"), "_id", F.sha2("_b", 256).alias("_sha"), fps.alias("_fps")), "rows")
+    rows = materialise(src.select(F.monotonically_increasing_id().alias("_rid"), "_id", "_carry", F.sha2("_b", 256).alias("_sha"), fps.alias("_fps")), "rows")
 
     named = rows.select("_rid", F.size("_fps").alias("_n"), F.posexplode("_fps").alias("_pos", "_f"))
     named = named.select("_rid", "_n", "_pos", "_f.f1", "_f.f2").join(names.select("f1", "f2", "name"), ["f1", "f2"]).select("_rid", "_n", "_pos", "name")
@@ -90,9 +90,9 @@ def name_documents(docs: DataFrame, id_col: str, text_col: str, block_bytes: int
     return rows.drop("_fps"), done
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, bits: int = 64) -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
-    rows, names = name_documents(docs, id_col, text_col, block_bytes, bits)
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, bits: int = 64, carry: str | None = None) -> DataFrame:
+    """One row per document: id, keep_id, group_size, kept, text_sha256 (of the normalised text), and the column ``carry`` if named."""
+    rows, names = name_documents(docs, id_col, text_col, block_bytes, bits, carry)
     x = materialise(names.join(rows, "_rid"), "named-rows")
     least = F.lit(-(1 << 63)) if dict(docs.dtypes)[id_col] in ("bigint", "int") else F.lit("")
     groups = x.groupBy("_level", "_name").agg(
@@ -107,4 +107,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "group_size",
         (F.col("_rid") == F.col("_keeper")).alias("kept"),
         F.col("_sha").alias("text_sha256"),
+        *([F.col("_carry").alias(carry)] if carry else []),
     )

@@ -24,9 +24,9 @@ texts that hold entities are joined with theirs and glued anew.
 
 Defined results: a null text stays null and an empty one empty; texts without
 entities are unchanged to the byte; repeated rows and rows with a null id are
-kept, each on its own; all other columns are kept as they are; names starting
-with ``_pii`` are taken (ValueError), as is ``n_entities``; an empty table
-gives an empty result.
+kept, each on its own; all other columns are kept as they are, and the count of
+entities gets underscores appended to its name until it clashes with none; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -207,31 +207,39 @@ def settle(parts: DataFrame, key: str, max_attempts: int = MAX_ATTEMPTS) -> Data
     raise RuntimeError(f"surrogates still collide after {max_attempts} attempts")
 
 
-def replace_pii(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
-    """``docs`` with the entities of the text column replaced, and ``n_entities``."""
-    taken = [c for c in docs.columns if c.startswith("_pii") or c == "n_entities"]
-    if taken:
-        raise ValueError(f"columns {taken} clash with the operator's own")
-    found = F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0))
-    rows = materialise(docs.withColumn("_pii_found", found).withColumn("_pii_row", F.monotonically_increasing_id()), "with-entities")
-    some = F.size("_pii_found") > 0  # null text: size is null or -1
-    holders = rows.where(some)
-    entities = materialise(with_parts(holders.select("_pii_row", F.posexplode("_pii_found").alias("_pos", "raw"))), "entities")
-    parts = entities.select("_pii_row", "_pos", F.posexplode("parts").alias("_part", "_x")).select("_pii_row", "_pos", "_part", "_x.kind", "_x.canon")
+def free_name(name: str, df: DataFrame) -> str:
+    """``name`` with as many underscores as it takes to clash with no column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def replace_pii(docs: DataFrame, text_col: str = "text", key: str = KEY, count_col: str = "n_entities") -> DataFrame:
+    """``docs`` with the entities of the text column replaced, and their number as a last column."""
+    count_col, found_col, row_col, new_col = (free_name(n, docs) for n in (count_col, "_pii_found", "_pii_row", "_pii_new"))
+    text = F.col(f"`{text_col}`")
+    rows = docs.withColumn(found_col, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).withColumn(row_col, F.monotonically_increasing_id())
+    rows = materialise(rows, "with-entities")
+    number = F.greatest(F.coalesce(F.size(found_col), F.lit(0)), F.lit(0))  # of a null text the size is null or -1
+    holders = rows.where(number > 0)
+    entities = holders.select(F.col(row_col).alias("_row"), F.posexplode(found_col).alias("_pos", "raw"))
+    entities = materialise(with_parts(entities), "entities")
+    parts = entities.select("_row", "_pos", F.posexplode("parts").alias("_part", "_x")).select("_row", "_pos", "_part", "_x.kind", "_x.canon")
     dictionary = settle(parts, key)
-    named = parts.join(dictionary, ["kind", "canon"]).groupBy("_pii_row", "_pos").agg(F.sort_array(F.collect_list(F.struct("_part", "surrogate"))).alias("_parts"))
+    named = parts.join(dictionary, ["kind", "canon"]).groupBy("_row", "_pos").agg(F.sort_array(F.collect_list(F.struct("_part", "surrogate"))).alias("_parts"))
     account = F.col("type") == "iban"
     rendered = (
         entities.drop("parts")
-        .join(named, ["_pii_row", "_pos"])
+        .join(named, ["_row", "_pos"])
         .withColumn("_slot", F.when(account, "[A-Z0-9]").otherwise("[0-9]"))
         .withColumn("_other", F.when(account, "[^A-Z0-9]").otherwise("[^0-9]"))
         .withColumn("_new", F.expr(RENDERED))
     )
-    per_row = rendered.groupBy("_pii_row").agg(F.sort_array(F.collect_list(F.struct("_pos", "_new"))).alias("_pii_new"))
-    gaps = F.split(F.col(text_col), ANY, -1)
-    glued = F.array_join(F.zip_with(gaps, F.col("_pii_new._new"), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
-    changed = holders.join(per_row, "_pii_row").withColumn(text_col, glued)
-    count = F.greatest(F.coalesce(F.size("_pii_found"), F.lit(0)), F.lit(0)).alias("n_entities")
+    per_row = rendered.groupBy(F.col("_row").alias(row_col)).agg(F.sort_array(F.collect_list(F.struct("_pos", "_new"))).alias(new_col))
+    gaps = F.split(text, ANY, -1)
+    glued = F.array_join(F.zip_with(gaps, F.col(new_col)["_new"], lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
+    changed = holders.join(per_row, row_col).withColumn(text_col, glued)
     own = [F.col(f"`{c}`") for c in docs.columns]
-    return changed.select(*own, count).unionByName(rows.where(~F.coalesce(some, F.lit(False))).select(*own, F.lit(0).alias("n_entities")))
+    unchanged = rows.where(number == 0).select(*own, F.lit(0).alias(count_col))
+    return changed.select(*own, number.alias(count_col)).unionByName(unchanged)
