@@ -153,7 +153,7 @@ def best_fit_packing(docs: DataFrame, model: str = "byte_bpe_50k.json", limit: i
 
 def sequences(packed: DataFrame, ids: DataFrame, keys: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """The packed sequences themselves: sequence_id, ids (concatenated), documents; ``ids`` holds the pieces' ids."""
-    x = packed.join(ids.select(*keys, "ids"), list(keys))
+    x = packed.drop("ids").join(ids.select(*keys, "ids"), list(keys))
     rows = F.sort_array(F.collect_list(F.struct("offset", "ids", F.col(keys[0]).alias("id"))))  # at most ``limit`` pieces
     y = x.groupBy("sequence_id").agg(rows.alias("_r"))
     joined = F.unhex(F.array_join(F.transform("_r", lambda r: F.hex(r["ids"])), ""))

@@ -87,7 +87,7 @@ class ZipPackage:
         self.file, self.size = file, file.size()
         tail_at = max(0, self.size - END.size - MAX16)
         tail = self._read(tail_at, self.size - tail_at)
-        at = tail.rfind(END_SIG)
+        at = tail.rfind(END_SIG, 0, len(tail) - END.size + len(END_SIG))
         while at >= 0 and at + END.size + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):  # the signature may occur in a comment
             at = tail.rfind(END_SIG, 0, at)
         if at < 0:
