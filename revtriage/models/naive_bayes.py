@@ -29,10 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import NB_ALPHA, TfidfParams
+from ..session import cut_lineage
 from . import tfidf as TF
 
-MODEL_BROADCAST_MAX_ROWS = 2_000_000
-
 
 @dataclass
 class NaiveBayesModel:
@@ -41,13 +40,9 @@ class NaiveBayesModel:
     prior: list[float]
     base: list[float]  # ln alpha - ln(S_c + alpha V)
     delta: DataFrame  # label, term, delta = ln(s_ct + alpha) - ln alpha
-    delta_rows: int
     alpha: float
     fit_prior: bool
 
-    def delta_side(self) -> DataFrame:
-        return F.broadcast(self.delta) if self.delta_rows <= MODEL_BROADCAST_MAX_ROWS else self.delta
-
     def predict(self, df: DataFrame, id_col: str, clean_col: str = "clean_text") -> DataFrame:
         """Adds ``prediction`` (class), ``confidence`` (max probability) and
         ``probability`` (array in ``classes`` order) to every row of ``df``."""
@@ -56,7 +51,7 @@ class NaiveBayesModel:
 
     def score_weights(self, df: DataFrame, x: DataFrame, id_col: str) -> DataFrame:
         seen = (
-            x.join(self.delta_side(), "term", "inner")
+            x.join(self.delta, "term", "inner")
             .groupBy(id_col, "label")
             .agg(F.sum(F.col("weight") * F.col("delta")).alias("s"))
             .groupBy(id_col)
@@ -104,7 +99,7 @@ def fit(
     else:
         vec = vectorizer
         x = vec.transform(docs, id_col, clean_col, keep=["label"])
-    sums = x.groupBy("label", "term").agg(F.sum("weight").alias("s")).persist()
+    sums = cut_lineage(x.groupBy("label", "term").agg(F.sum("weight").alias("s")))
     # One row per class: document count and weight total.
     per_class = {r["label"]: (int(r["n"]), 0.0) for r in docs.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     for r in sums.groupBy("label").agg(F.sum("s").alias("S")).collect():
@@ -115,6 +110,5 @@ def fit(
     V = vec.vocab_size
     prior = [math.log(per_class[c][0] / n_all) if fit_prior else -math.log(len(classes)) for c in classes]
     base = [math.log(alpha) - math.log(per_class[c][1] + alpha * V) for c in classes]
-    delta = sums.select("label", "term", (F.log(F.col("s") + F.lit(alpha)) - F.lit(math.log(alpha))).alias("delta")).persist()
-    rows = delta.count()
-    return NaiveBayesModel(vec, classes, prior, base, delta, rows, alpha, fit_prior)
+    delta = sums.select("label", "term", (F.log(F.col("s") + F.lit(alpha)) - F.lit(math.log(alpha))).alias("delta"))
+    return NaiveBayesModel(vec, classes, prior, base, delta, alpha, fit_prior)

@@ -12,7 +12,8 @@ term)`` counts them with map-side partial aggregation (all terms of a
 document sit in one input partition, so the partial aggregate is already
 exact); document frequencies are a second partial aggregate by term, so a
 term present in a third of all documents is pre-summed before its shuffle.
-The vocabulary join is a broadcast only behind its checked size.
+The vocabulary is joined by a shuffle, or broadcast when adaptive execution
+finds its bytes below the session's limit.
 """
 
 from __future__ import annotations
@@ -26,8 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import TfidfParams
-
-VOCAB_BROADCAST_MAX_ROWS = 2_000_000
+from ..session import cut_lineage
 
 
 @lru_cache(maxsize=None)
@@ -106,10 +106,6 @@ class TfidfModel:
     vocab_size: int
     params: TfidfParams
 
-    def vocab_side(self) -> DataFrame:
-        v = self.vocab
-        return F.broadcast(v) if self.vocab_size <= VOCAB_BROADCAST_MAX_ROWS else v
-
     def transform(self, df: DataFrame, id_col: str, clean_col: str = "clean_text", keep: list[str] | None = None) -> DataFrame:
         """Long form (id, *keep, term, weight) over the fitted vocabulary."""
         return self.weights(term_counts(df, id_col, clean_col, self.params, keep), id_col, keep)
@@ -117,7 +113,7 @@ class TfidfModel:
     def weights(self, tf: DataFrame, id_col: str, keep: list[str] | None = None) -> DataFrame:
         """Long-form weights from term counts (id, *keep, term, tf)."""
         keep = keep or []
-        x = tf.join(self.vocab_side(), "term", "inner")
+        x = tf.join(self.vocab, "term", "inner")
         tfw = (F.lit(1.0) + F.log(F.col("tf"))) if self.params.sublinear_tf else F.col("tf").cast("double")
         x = x.withColumn("w", tfw * F.col("idf"))
         if self.params.norm:
@@ -137,7 +133,7 @@ def fit_counts(tf: DataFrame, n_docs: int, params: TfidfParams) -> TfidfModel:
         raise ValueError("max_df corresponds to < documents than min_df")
     vocab = dfreq.where((F.col("df") >= F.lit(lo)) & (F.col("df") <= F.lit(hi)))
     vocab = vocab.withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
-    vocab = vocab.select("term", "df", "idf").persist()
+    vocab = cut_lineage(vocab.select("term", "df", "idf"))
     vocab_size = vocab.count()
     if vocab_size == 0:
         raise ValueError("After pruning, no terms remain. Try a lower min_df or a higher max_df.")
@@ -154,7 +150,7 @@ def fit_transform(df: DataFrame, id_col: str, clean_col: str = "clean_text", par
     """Fit on ``df`` and weight the same documents from one tokenisation:
     the term counts are computed once and feed both the document
     frequencies and the weights."""
-    tf = term_counts(df, id_col, clean_col, params, keep).persist()
+    tf = cut_lineage(term_counts(df, id_col, clean_col, params, keep))
     model = fit_counts(tf, df.count(), params)
     return model, model.weights(tf, id_col, keep)
 

@@ -29,12 +29,13 @@ def newest_per_app(df: DataFrame, count: int, key: str = "app_id", date_col: str
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= count).drop("_rn")
 
 
-def raw_reviews(landed: DataFrame, targets: DataFrame, order_col: str = "review_id") -> DataFrame:
-    """S6 + J4 + D2: enrich with the app name (broadcast: targets are a small
-    dimension, one row per app), trim text (null -> ''), constant store
-    source, drop blanks, keep the first row per (review_id, text)."""
-    t = targets.select("app_id", "app_name").dropDuplicates(["app_id"])
-    x = landed.join(F.broadcast(t), "app_id", "inner")
+def raw_reviews(landed: DataFrame, targets: DataFrame, order_col: str = "review_id", target_order: str | None = None) -> DataFrame:
+    """S6 + J4 + D2: enrich with the app name (of repeated app ids the first
+    target by ``target_order``, or the smallest name), trim text (null -> ''),
+    constant store source, drop blanks, keep the first row per
+    (review_id, text)."""
+    name = F.min_by("app_name", target_order) if target_order else F.min("app_name")
+    x = landed.join(targets.groupBy("app_id").agg(name.alias("app_name")), "app_id", "inner")
     x = x.withColumn("text", unicode_trim(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     x = x.withColumn("store_source", F.lit(config.STORE_SOURCE))
     for c in RAW_COLUMNS:
@@ -75,7 +76,7 @@ def live_reviews(landed: DataFrame, app_id: str, count: int, english) -> DataFra
         *([c for c in ["lang"] if c in landed.columns]),
     ).where(F.col("text") != "")
     # First in fetch order = newest first.
-    newest_first = -F.unix_micros(F.col("review_date").cast("timestamp"))
+    newest_first = F.coalesce(-F.unix_micros(F.col("review_date").cast("timestamp")), F.lit((1 << 63) - 1))  # no date: last
     x = keep_first(x, ["review_id", "text"], [newest_first])
     if callable(english):
         x = english(x).where(F.col("is_english")).drop("is_english")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from .. import config
 from ..functions.text import unicode_trim
@@ -15,7 +16,7 @@ def candidate_rows(stacked: DataFrame, labels=config.LABEL_NAMES, order_cols: li
     keep non-blank text with a supported label (exact membership); first
     row per (text, label) in input order (``order_cols``, a total order)."""
     if "text" not in stacked.columns or "label" not in stacked.columns:
-        raise ValueError("Every relabeled input must contain text and label columns.")
+        raise ValueError(f"an input to merge lacks text or label; it has {stacked.columns}")
     x = stacked.withColumn("text", unicode_trim(F.coalesce(F.col("text").cast("string"), F.lit("")))).withColumn(
         "label", unicode_trim(F.coalesce(F.col("label").cast("string"), F.lit("")))
     )
@@ -35,26 +36,25 @@ def new_pairs(base: DataFrame, candidates: DataFrame) -> DataFrame:
     return candidates.join(keys, ["text", "label"], "left_anti")
 
 
-def align_to(base_columns: list[str], df: DataFrame) -> DataFrame:
-    """Base column order; missing columns '' ; extra columns dropped."""
-    return df.select(*[(F.col(c) if c in df.columns else F.lit("")).alias(c) for c in base_columns])
+def align_to(schema: StructType, df: DataFrame, *extra: Column) -> DataFrame:
+    """The base's columns, order and types; a column that ``df`` lacks is
+    '' if it holds strings, else null; other columns of ``df`` are dropped."""
+    blank = {f.name: F.lit("") if f.dataType == StringType() else F.lit(None) for f in schema}
+    return df.select(*[(F.col(f.name) if f.name in df.columns else blank[f.name]).cast(f.dataType).alias(f.name) for f in schema], *extra)
 
 
 def merge_into(base: DataFrame, new_rows: DataFrame, base_order: str, new_order: str) -> DataFrame:
     """Base ∪ aligned new rows, dedup on raw (text, label), base first.
 
     ``base_order`` / ``new_order``: numeric columns giving the row order of
-    each side (``new_order`` need not be a base column).  Callers keep the
-    base unchanged when ``new_rows`` is empty (duplicates included), as the
-    reference job does.
+    each side (``new_order`` need not be a base column).  With no new rows
+    the base is returned as it is, repeated pairs included.
     """
+    if new_rows.isEmpty():
+        return base
     cols = base.columns
     a = base.select(*cols, F.lit(0).alias("_src"), F.col(base_order).cast("long").alias("_ord"))
-    b = new_rows.select(
-        *[(F.col(c) if c in new_rows.columns else F.lit("")).cast(base.schema[c].dataType).alias(c) for c in cols],
-        F.lit(1).alias("_src"),
-        F.col(new_order).cast("long").alias("_ord"),
-    )
+    b = align_to(base.schema, new_rows, F.lit(1).alias("_src"), F.col(new_order).cast("long").alias("_ord"))
     out = keep_first(a.unionByName(b), ["text", "label"], ["_src", "_ord"])
     return out.drop("_src", "_ord")
 

@@ -7,16 +7,6 @@ from pyspark.sql import functions as F
 
 from .. import config
 
-# Build sides at or below this many rows are broadcast after an explicit
-# count; bigger ones go through a shuffle join (AQE may still demote it).
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only behind a size check (an aggregate over ``df``)."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def drop_null(df: DataFrame, cols: list[str]) -> DataFrame:
     """F1."""
     return df.na.drop(subset=cols)

@@ -19,10 +19,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# (group, bucket) count tables at or below this many rows are broadcast; the
-# table has at most n_groups * 16**digits rows, so the check is cheap.
-BROADCAST_MAX_ROWS = 2_000_000
-
 
 def hash_order(seed, *cols) -> Column:
     """Hex md5 of ``seed|c1|c2...`` – the same string in Spark and DuckDB."""
@@ -56,12 +52,8 @@ def hash_rank(
         offsets = offsets.join(quota.select(*group_cols, quota_col), group_cols, "inner").where(
             F.col("_before") < F.col(quota_col)
         )
-    # Small (≤ groups × 16**digits rows): cached so the size check and the
-    # join read one computation.
-    offsets = offsets.drop("_n").persist()
-    n_offsets = offsets.count()
-    if n_offsets <= BROADCAST_MAX_ROWS:
-        offsets = F.broadcast(offsets)
+    # At most groups × 16**digits rows: adaptive execution broadcasts it when its bytes allow.
+    offsets = offsets.drop("_n")
     x = x.join(offsets, group_cols + [b], "inner")
     wr = Window.partitionBy(*group_cols, b).orderBy(F.col(order_col), *[F.col(c) for c in tiebreak_cols])
     x = x.withColumn(rank_col, F.col("_before") + F.row_number().over(wr))

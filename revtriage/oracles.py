@@ -126,7 +126,7 @@ def loader_sql(source: str, labels, label_col: str, text_col: str, exclude: str
     """CTE bodies of the dataset loader over ``source``: staged, cleaned, data."""
     staged = (
         f"SELECT {label_col} AS label_raw, {text_col} AS text_raw, {normalize_label(label_col, labels.synonyms)} AS label, "
-        f"{trim_cut(text_col)} AS text FROM {source}"
+        f"{trim_u(text_col)} AS text FROM {source}"
     )
     valid = "SELECT DISTINCT label, text FROM staged WHERE label_raw IS NOT NULL AND text_raw IS NOT NULL AND label IS NOT NULL AND text <> ''"
     cleaned = f"SELECT label, text, {model_clean('text')} AS clean_text FROM valid"
@@ -248,7 +248,8 @@ SELECT review_id, '' AS label, text, rating, security_score, matched_terms, '' A
         SELECT review_id, text, rating, {norm} AS norm FROM {REVIEWS}) a) b
 ) c
 WHERE security_score >= {config.CANDIDATE_MIN_SCORE}
-  AND coalesce(TRY_CAST(rating AS DOUBLE), {config.CANDIDATE_MAX_RATING}) <= {config.CANDIDATE_MAX_RATING}
+  AND coalesce(TRY_CAST(rating AS DOUBLE), {config.CANDIDATE_MAX_RATING}) <= {config.CANDIDATE_MAX_RATING}"""
+    out["i5_top_candidates"] = out["x10_candidates"] + f"""
 ORDER BY security_score DESC, TRY_CAST(rating AS DOUBLE) ASC NULLS LAST, review_id
 LIMIT {C.CANDIDATE_TOP}"""
     query = r"regexp_extract(url, '\?([^#]*)', 1)"
@@ -312,7 +313,7 @@ SELECT min(n) AS minority_count, max(n) AS majority_count,
 
     # -- split / ids
     out["i1_review_id"] = (
-        f"SELECT '{config.REVIEW_ID_PREFIX}' || lpad(CAST(row_number() OVER (ORDER BY review_id) AS VARCHAR), 5, '0') AS review_id, "
+        f"SELECT '{config.REVIEW_ID_PREFIX}' || printf('%05d', row_number() OVER (ORDER BY review_id)) AS review_id, "
         f"review_id AS doc_id, label FROM {class_master_sql()} m"
     )
     out["i9_quotas"] = "WITH " + split_sql() + "\nSELECT label, CAST(n_train AS BIGINT) AS n_train, CAST(n_test AS BIGINT) AS n_test FROM quota"
@@ -353,6 +354,7 @@ SELECT review_id, label, label_method FROM (
   SELECT *, row_number() OVER (PARTITION BY text, label ORDER BY src, review_id) AS rk FROM (
     SELECT review_id, text, label, label_method, 0 AS src FROM base
     UNION ALL SELECT review_id, text, label, '{config.RULE_LABEL_METHOD}', 1 FROM new) u) x WHERE rk = 1"""
+    out["d4_merge_nothing_new"] = "WITH " + split_sql() + "," + cand + "\nSELECT review_id, label, label_method FROM base"
     out["a8_added_by_label"] = "WITH " + split_sql() + "," + cand + "\nSELECT label, count(*) AS n FROM new GROUP BY label"
 
     # -- ingest
@@ -385,5 +387,6 @@ SELECT review_id, rating, thumbs_up FROM (
   ) b WHERE text <> ''
 ) c WHERE rk2 = 1 AND lang = 'en'"""
     out["s2_csv_roundtrip"] = "SELECT doc_id, text, lang, source FROM documents"
-    out["t2_stream_dedup"] = "SELECT DISTINCT user_id, event_type FROM events"
+    out["t2_stream_dedup"] = "SELECT DISTINCT user_id, event_type, strftime(ts, '%Y-%m-%d %H') AS slot FROM events"
+    out["s9_stack_inputs"] = "SELECT doc_id, text, lang FROM documents"
     return out

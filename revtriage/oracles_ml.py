@@ -6,7 +6,7 @@ from __future__ import annotations
 from . import config
 from .config import TfidfParams
 from .models.tfidf import stop_words_of
-from .oracles import display_name, model_clean, q, trim_cut, trim_u, with_prefix
+from .oracles import display_name, model_clean, q, trim_u, with_prefix
 from .plans import modeling_catalog as MC
 from .sources import tables as S
 
@@ -31,7 +31,7 @@ def loader(source: str, labels, exclude: str | None = None) -> dict:
     staged = (
         f"SELECT review_id, label AS label_raw, text AS text_raw, "
         f"{'(CASE lower(' + trim_u('CAST(label AS VARCHAR)') + ') ' + ' '.join(f'WHEN {q(k)} THEN {q(v)}' for k, v in labels.synonyms.items()) + ' END)'} AS label, "
-        f"{trim_cut('text')} AS text FROM {source}"
+        f"{trim_u('text')} AS text FROM {source}"
     )
     valid = (
         "SELECT review_id, label, text FROM (SELECT *, row_number() OVER (PARTITION BY text, label ORDER BY review_id) AS rk0 "
@@ -162,7 +162,7 @@ def r6(x: str, name: str) -> str:
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     P = TfidfParams()
-    docs = f"(SELECT doc_id, {model_clean(trim_cut('text'))} AS clean_text FROM documents)"
+    docs = f"(SELECT doc_id, {model_clean(trim_u('text'))} AS clean_text FROM documents)"
     base = f"WITH d AS {docs},\n{vocab_cte('m_', 'd', 'doc_id', P)},\n{weights_cte('mw', 'm_', 'd', 'doc_id', P)}"
     out["m1_tfidf_long"] = base + f"\nSELECT doc_id, term, {r6('weight', 'weight')} FROM mw"
     out["m10_top_terms"] = base + """
@@ -194,7 +194,7 @@ SELECT row_number() OVER (ORDER BY d.review_id) AS test_row, d.review_id, {disp(
   {disp('d.label')} = {disp('p.prediction')} AS correct
 FROM te_data d JOIN te_pred p ON d.review_id = p.review_id"""
     up = f"""(SELECT row_number() OVER (ORDER BY conv_id, turn) AS review_id, text, {model_clean('text')} AS clean_text FROM (
-   SELECT conv_id, turn, {trim_cut("coalesce(text, '')")} AS text FROM conversations) a
+   SELECT conv_id, turn, {trim_u("coalesce(text, '')")} AS text FROM conversations) a
    WHERE text <> '' AND {model_clean('text')} <> '')"""
     U = L + ",\nup AS " + up + nb_score_ctes("up", "up")
     out["m9c_upload_scoring"] = U + f"\nSELECT review_id AS file_row, {disp('prediction')} AS predicted_label, {r6('confidence', 'confidence')} FROM up_pred"

@@ -81,10 +81,15 @@ def q_x3_label_normalise(spark, d):
 
 def q_x10_candidates(spark, d):
     rev = S.reviews(spark, d).select("review_id", "text", "rating")
-    c = LAB.security_candidates(rev, S.TEST_CANDIDATE_VOCAB, top=CANDIDATE_TOP, id_col="review_id")
+    c = LAB.security_candidates(rev, S.TEST_CANDIDATE_VOCAB, id_col="review_id")
     return c
 
 
+def q_i5_top_candidates(spark, d):
+    rev = S.reviews(spark, d).select("review_id", "text", "rating")
+    return LAB.security_candidates(rev, S.TEST_CANDIDATE_VOCAB, top=CANDIDATE_TOP, id_col="review_id")
+
+
 def q_x11_app_id(spark, d):
     pages = S.table(spark, d, "pages").select("page_id", "url")
     app = T.app_id_from_reference("url", host_marker="example", key="ref")
@@ -235,6 +240,27 @@ def q_d4_merge(spark, d):
     return merged.select("review_id", "label", "label_method")
 
 
+def q_d4_merge_nothing_new(spark, d):
+    """The base merged with its own rows: nothing is new, the base stays as it is, repeated pairs included."""
+    base = rule_base(spark, d)
+    merged = MRG.merge_into(base, MRG.new_pairs(base, base), "review_id", "review_id")
+    return merged.select("review_id", "label", "label_method")
+
+
+def q_s9_stack_inputs(spark, d):
+    """``documents`` landed as CSV files with two orders of headings, stacked by name."""
+    from ..sources.files import read_csv_any_encoding
+    from ..sinks.writers import write_csv
+    from ..session import scratch_path
+
+    docs = S.table(spark, d, "documents").select("doc_id", "text", "lang")
+    base = scratch_path(spark, "s9")
+    write_csv(docs.where("doc_id % 2 = 0"), f"{base}/a")
+    write_csv(docs.where("doc_id % 2 = 1").select("lang", "text", "doc_id"), f"{base}/b")
+    back = read_csv_any_encoding(spark, [f"{base}/a", f"{base}/b"], na_tokens=None)
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+
+
 def q_a8_added_by_label(spark, d):
     base = rule_base(spark, d)
     new = MRG.new_pairs(base, relabelled_candidates(spark, d))
@@ -299,6 +325,9 @@ def q_s2_csv_roundtrip(spark, d):
 def registry() -> dict:
     return {
         "p1_trim_cut": q_p1_trim_cut,
+        "i5_top_candidates": q_i5_top_candidates,
+        "d4_merge_nothing_new": q_d4_merge_nothing_new,
+        "s9_stack_inputs": q_s9_stack_inputs,
         "x1_model_clean": q_x1_model_clean,
         "x2_rule_clean": q_x2_rule_clean,
         "x7_weak_label": q_x7_weak_label,

@@ -72,13 +72,13 @@ def r6(c):
 
 
 def q_m1_tfidf_long(spark, d):
-    docs = S.table(spark, d, "documents").select("doc_id", T.model_clean(T.trim_cut("text")).alias("clean_text"))
+    docs = S.table(spark, d, "documents").select("doc_id", T.model_clean(T.unicode_trim("text")).alias("clean_text"))
     _, w = TF.fit_transform(docs, "doc_id", "clean_text", TfidfParams())
     return w.select("doc_id", "term", r6("weight"))
 
 
 def q_m10_top_terms(spark, d):
-    docs = S.table(spark, d, "documents").select("doc_id", T.model_clean(T.trim_cut("text")).alias("clean_text"))
+    docs = S.table(spark, d, "documents").select("doc_id", T.model_clean(T.unicode_trim("text")).alias("clean_text"))
     _, w = TF.fit_transform(docs, "doc_id", "clean_text", TfidfParams())
     top = TF.top_terms(w, "doc_id", TOP_TERMS)
     return top.select("doc_id", F.array_join(F.col("top_terms.term"), ", ").alias("top_terms"))

@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 from ..session import ensure_checkpoint_dir
-from . import catalog
+from ..streaming import catalog as stream_catalog
+from . import catalog, modeling_catalog
 
 
 def _with_checkpoint(fn):
     def run(spark, sf_dir):
         ensure_checkpoint_dir(spark)
-        # Queries run one after another in one session: tables cached by the
-        # previous query (already collected) are released first.
-        spark.catalog.clearCache()
         return fn(spark, sf_dir)
 
     run.__name__ = fn.__name__
@@ -21,16 +19,6 @@ def _with_checkpoint(fn):
 
 def all_queries() -> dict:
     out = dict(catalog.registry())
-    try:
-        from . import modeling_catalog
-
-        out.update(modeling_catalog.registry())
-    except ImportError:
-        pass
-    try:
-        from ..streaming import catalog as stream_catalog
-
-        out.update(stream_catalog.registry())
-    except ImportError:
-        pass
+    out.update(modeling_catalog.registry())
+    out.update(stream_catalog.registry())
     return {k: _with_checkpoint(v) for k, v in out.items()}
