@@ -1,13 +1,17 @@
 """Dedup, decontamination, merge, funnel, metrics (FIXTURES.md §3)."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from revtriage.config import Labels
+from revtriage.operators.ingest import live_reviews, raw_reviews
 from revtriage.operators.merge import merge_into, new_pairs
 from revtriage.operators.metrics import confusion_matrix, per_class_report, summary_metrics
 from revtriage.operators.quality import keep_first
 from revtriage.plans.dataset import load_labelled_dataset
 from revtriage.plans.scoring import triage
+from revtriage.sources.files import read_csv_any_encoding, read_files_with_lineage
 from revtriage.operators.aggregate import class_balance, triage_summary
 
 
@@ -99,3 +103,46 @@ def test_sinks_roundtrip(spark, tmp_path):
     assert read_version(spark, str(tmp_path / "tbl")).count() == 1
     md = split_summary_markdown(split, "master.csv")
     assert "- Training rows: 1" in md and "| `y` | 1 |" in md
+
+
+def test_merge_without_new_rows_keeps_the_base(spark):
+    base = spark.createDataFrame([(1, "x", "l"), (2, "x", "l")], "review_id int, text string, label string")
+    new = new_pairs(base, base)
+    assert merge_into(base, new, "review_id", "review_id").count() == 2
+
+
+def test_merge_fills_missing_columns_by_type(spark):
+    base = spark.createDataFrame([(1, "x", "l", 5, "m")], "review_id int, text string, label string, votes int, method string")
+    new = spark.createDataFrame([(9, "y", "l")], "review_id int, text string, label string")
+    added = merge_into(base, new, "review_id", "review_id").where("review_id = 9").first()
+    assert added.votes is None and added.method == ""
+
+
+def test_live_reviews_prefer_the_dated_copy(spark):
+    rows = [(1, None, 2, "t", 0, "a"), (1, datetime.datetime(2024, 1, 1), 3, "t", 0, "a")]
+    df = spark.createDataFrame(rows, "review_id int, review_date timestamp, rating int, text string, thumbs_up_count int, app_id string")
+    out = live_reviews(df, "a", 10, F.lit(True)).collect()
+    assert [r.rating for r in out] == [3]
+
+
+def test_first_target_names_the_app(spark):
+    landed = spark.createDataFrame([(1, "t", "a", 2, None)], "review_id int, text string, app_id string, rating int, review_date timestamp")
+    targets = spark.createDataFrame([("Zed", "a", 0), ("Abe", "a", 1)], "app_name string, app_id string, ord int")
+    assert raw_reviews(landed, targets, target_order="ord").first().app_name == "Zed"
+
+
+def test_csv_files_with_other_heading_orders(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("text,label\nno money,payment\n")
+    (tmp_path / "b.csv").write_bytes("label,text\ntransfer,caf\u00e9\n".encode("latin-1"))
+    out = read_csv_any_encoding(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
+    assert sorted((r.text, r.label) for r in out.collect()) == [("caf\u00e9", "transfer"), ("no money", "payment")]
+    lined = read_files_with_lineage(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], "csv").collect()
+    assert sorted((r.label, r.merge_source_file) for r in lined) == [("payment", "a.csv"), ("transfer", "b.csv")]
+
+
+def test_whole_texts_are_loaded(spark):
+    labels = Labels(names=("a",), display={}, synonyms={"a": "a"})
+    long = "word " * 900
+    rows = [("a", long + "one"), ("a", long + "two")] + [("a", f"row {i}") for i in range(30)]
+    out = load_labelled_dataset(spark.createDataFrame(rows, "label string, text string"), labels, apply_balancing=False)
+    assert out.summary["final_rows"] == 32
