@@ -22,7 +22,7 @@ from .warc_zip import warc_round_trip
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("class_size")
 
 
 def op2_addressable_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_block_naming_dedup": sql.OP4}
+    return {"op1_ngram_jaccard_join": sql.OP1, "op3_zip_packaged_warc": sql.OP3, "op4_block_naming_dedup": sql.OP4}

@@ -14,3 +14,42 @@ SELECT doc_id,
 FROM t
 WINDOW same AS (PARTITION BY norm)
 """
+
+OP3 = """
+WITH t AS (
+  SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, '')) AS n FROM pages
+), r AS (
+  SELECT page_id, payload, n, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY payload) ELSE page_id END AS kept FROM t
+)
+SELECT page_id,
+       CAST(n AS BIGINT) AS payload_bytes,
+       sha1(payload) AS payload_digest,
+       CASE WHEN kept = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN kept <> page_id THEN kept END AS refers_to
+FROM r
+"""
+
+OP1 = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UP}', '{LOW}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, unnest(CASE
+    WHEN len(ws) = 0 THEN []
+    WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END) AS g
+  FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)
+), r AS (
+  SELECT doc_id, doc_id AS c FROM documents
+  UNION
+  SELECT l.y, r.c FROM r JOIN l ON l.x = r.doc_id
+)
+SELECT r.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.c) AS component_id
+FROM r LEFT JOIN n ON n.doc_id = r.doc_id
+GROUP BY r.doc_id
+"""
