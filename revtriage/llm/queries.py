@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import sql
 from .common import table
@@ -50,7 +51,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_quality(table(spark, sf_dir, "documents"))
+    return judge_quality(table(spark, sf_dir, "documents")).withColumn("p_good", F.round("p_good", 6))
 
 
 def op3_zip_packaged_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": sql.OP1, "op3_zip_packaged_warc": sql.OP3, "op4_block_naming_dedup": sql.OP4}
+    return {"op1_ngram_jaccard_join": sql.OP1, "op3_zip_packaged_warc": sql.OP3, "op4_block_naming_dedup": sql.OP4, "op9_weak_supervision_quality": sql.quality_sql()}
