@@ -270,6 +270,10 @@ FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn, {display_name('l
     # -- dataset loader
     LD = labelled_loader_ctes()
     out["s4_load_dataset"] = LD + "\nSELECT label, text, clean_text FROM data"
+    out["p9_dataset_preview"] = LD + f"\nSELECT {display_name('label', S.CLASS_LABELS.display)} AS label, text FROM data"
+    out["m19_mode_figures"] = LD + """,
+cnt AS (SELECT label, count(*) AS n FROM data GROUP BY label)
+SELECT label, n AS rows_before, (SELECT min(n) FROM cnt) AS rows_after, (SELECT min(n) FROM cnt) AS rows_selected, true AS mode_differs FROM cnt"""
     names = S.CLASS_LABELS.names
     out["a4_funnel"] = LD + f""",
 pre AS (SELECT count(*) AS original_rows,

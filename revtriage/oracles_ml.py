@@ -193,6 +193,11 @@ SELECT row_number() OVER (ORDER BY d.review_id) AS test_row, d.review_id, {disp(
   {disp('p.prediction')} AS predicted_label, {r6('p.confidence', 'confidence')},
   {disp('d.label')} = {disp('p.prediction')} AS correct
 FROM te_data d JOIN te_pred p ON d.review_id = p.review_id"""
+    held = f"({out['m9b_holdout_eval']}) h"
+    out["f6_category_rows"] = f"SELECT test_row, review_id, actual_label, correct FROM {held} WHERE actual_label = {q(S.LANG_LABELS.display.get('fr', 'Fr'))}"
+    out["f7_incorrect_rows"] = f"SELECT test_row, review_id, actual_label, predicted_label FROM {held} WHERE NOT correct"
+    shown = ", ".join(f"printf('%.2f%%', {c} * 100) AS {c}" for c in ("accuracy", "precision", "recall", "f1"))
+    out["m18_metric_percents"] = f"SELECT rows, {shown} FROM ({out['m11_metrics']}) m"
     up = f"""(SELECT row_number() OVER (ORDER BY conv_id, turn) AS review_id, text, {model_clean('text')} AS clean_text FROM (
    SELECT conv_id, turn, {trim_u("coalesce(text, '')")} AS text FROM conversations) a
    WHERE text <> '' AND {model_clean('text')} <> '')"""

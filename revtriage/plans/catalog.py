@@ -20,6 +20,7 @@ from ..operators import aggregate as A
 from ..operators import ingest as ING
 from ..operators import labeling as LAB
 from ..operators import merge as MRG
+from ..operators import report as RPT
 from ..operators.quality import keep_first, validation_table
 from ..operators.rank import global_row_number
 from ..operators.sampling import balance_classes, split_quotas, stratified_folds, stratified_split
@@ -136,6 +137,18 @@ def q_s4_load_dataset(spark, d):
     return load_labelled_dataset(docs, S.CLASS_LABELS, apply_balancing=False).data
 
 
+def q_p9_dataset_preview(spark, d):
+    docs = S.labelled_documents(spark, d).select("doc_id", "text", "category")
+    return RPT.dataset_preview(load_labelled_dataset(docs, S.CLASS_LABELS, apply_balancing=False).data, S.CLASS_LABELS.display)
+
+
+def q_m19_mode_figures(spark, d):
+    docs = S.labelled_documents(spark, d).select("doc_id", "text", "category")
+    before = load_labelled_dataset(docs, S.CLASS_LABELS, apply_balancing=False).data
+    after = load_labelled_dataset(docs, S.CLASS_LABELS, apply_balancing=True).data
+    return RPT.mode_figures(before, after, saved_balanced=False, balanced=True)
+
+
 def q_a4_funnel(spark, d):
     docs = S.labelled_documents(spark, d).select("doc_id", "text", "category")
     s = load_labelled_dataset(docs, S.CLASS_LABELS, apply_balancing=True).summary_df
@@ -325,6 +338,8 @@ def q_s2_csv_roundtrip(spark, d):
 def registry() -> dict:
     return {
         "p1_trim_cut": q_p1_trim_cut,
+        "p9_dataset_preview": q_p9_dataset_preview,
+        "m19_mode_figures": q_m19_mode_figures,
         "i5_top_candidates": q_i5_top_candidates,
         "d4_merge_nothing_new": q_d4_merge_nothing_new,
         "s9_stack_inputs": q_s9_stack_inputs,

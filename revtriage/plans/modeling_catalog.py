@@ -19,6 +19,7 @@ from ..models import naive_bayes as NB
 from ..models import tfidf as TF
 from ..operators import aggregate as A
 from ..operators import metrics as M
+from ..operators import report as RPT
 from ..operators.rank import global_row_number
 from ..operators.sampling import stratified_split
 from ..sources import tables as S
@@ -113,6 +114,28 @@ def q_m9b_holdout_eval(spark, d):
     return rows.select("test_row", "review_id", "actual_label", "predicted_label", r6("confidence"), "correct")
 
 
+def q_f6_category_rows(spark, d):
+    """held-out rows of one category, with the numbers they have among all."""
+    model, _, test = nb_model(spark, d)
+    rows, _ = SC.evaluate_holdout(test.data, nb_scorer(model), S.LANG_LABELS.display, "review_id")
+    rows = RPT.category_rows(rows, S.LANG_LABELS.display.get("fr", "Fr"))
+    return rows.select("test_row", "review_id", "actual_label", "correct")
+
+
+def q_f7_incorrect_rows(spark, d):
+    """held-out rows that the model got wrong."""
+    model, _, test = nb_model(spark, d)
+    rows, _ = SC.evaluate_holdout(test.data, nb_scorer(model), S.LANG_LABELS.display, "review_id")
+    return RPT.incorrect_rows(rows).select("test_row", "review_id", "actual_label", "predicted_label")
+
+
+def q_m18_metric_percents(spark, d):
+    """A model's metrics as percent."""
+    model, _, test = nb_model(spark, d)
+    m = M.summary_metrics(model.predict(test.data, "review_id"))
+    return RPT.metric_percents(m.select("rows", r6("accuracy"), r6("precision"), r6("recall"), r6("f1")))
+
+
 def q_a6_holdout_summary(spark, d):
     model, _, test = nb_model(spark, d)
     _, summary = SC.evaluate_holdout(test.data, nb_scorer(model), S.LANG_LABELS.display, "review_id")
@@ -192,6 +215,9 @@ def registry() -> dict:
         "m12_per_class": q_m12_per_class,
         "m13_confusion": q_m13_confusion,
         "m9b_holdout_eval": q_m9b_holdout_eval,
+        "f6_category_rows": q_f6_category_rows,
+        "f7_incorrect_rows": q_f7_incorrect_rows,
+        "m18_metric_percents": q_m18_metric_percents,
         "a6_holdout_summary": q_a6_holdout_summary,
         "m9c_upload_scoring": q_m9c_upload_scoring,
         "m9c_label_counts": q_m9c_label_counts,
