@@ -22,10 +22,11 @@ probability.  The prior is the class frequency, or uniform.
 
 from __future__ import annotations
 
+import json
 import math
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import NB_ALPHA, TfidfParams
@@ -82,6 +83,28 @@ class NaiveBayesModel:
         return out.drop("_sumx", "_seen", "_jll", "_mx", "_arg", "_e")
 
 
+def save(model: NaiveBayesModel, path: str) -> None:
+    """The fitted model as three tables: vocabulary, class-term weights, parameters."""
+    spark = model.delta.sparkSession
+    model.vectorizer.vocab.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    model.delta.write.mode("overwrite").parquet(f"{path}/weights")
+    row = (
+        model.classes, model.prior, model.base, float(model.alpha), model.fit_prior,
+        model.vectorizer.n_docs, model.vectorizer.vocab_size, json.dumps(asdict(model.vectorizer.params)),
+    )
+    schema = "classes array<string>, prior array<double>, base array<double>, alpha double, fit_prior boolean, n_docs long, vocab_size long, vectorizer string"
+    spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/parameters")
+
+
+def load(spark: SparkSession, path: str) -> NaiveBayesModel:
+    p = spark.read.parquet(f"{path}/parameters").first()
+    settings = json.loads(p["vectorizer"])
+    if settings["stop_words"] is not None:
+        settings["stop_words"] = tuple(settings["stop_words"])
+    vectorizer = TF.TfidfModel(spark.read.parquet(f"{path}/vocabulary"), p["n_docs"], p["vocab_size"], TfidfParams(**settings))
+    return NaiveBayesModel(vectorizer, list(p["classes"]), list(p["prior"]), list(p["base"]), spark.read.parquet(f"{path}/weights"), p["alpha"], p["fit_prior"])
+
+
 def fit(
     train: DataFrame,
     id_col: str,

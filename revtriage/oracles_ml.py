@@ -177,6 +177,7 @@ WHERE rk <= 5 GROUP BY doc_id"""
     summary = f"""
 SELECT CAST(sum(n_actual) AS BIGINT) AS rows, CAST(sum(tp) AS BIGINT) AS correct, {r6('sum(tp) / sum(n_actual)', 'accuracy')},
   {r6('avg(precision)', 'precision')}, {r6('avg(recall)', 'recall')}, {r6('avg(f1)', 'f1')} FROM rat"""
+    out["k6_saved_model_scores"] = out["m3_nb_predict"]
     out["m11_metrics"] = M + summary
     out["a6_holdout_summary"] = M + summary
     names = S.LANG_LABELS.names

@@ -91,6 +91,17 @@ def q_m3_nb_predict(spark, d):
     return p.select("review_id", "label", "prediction", r6("confidence"))
 
 
+def q_k6_saved_model_scores(spark, d):
+    """The model of ``m3_nb_predict`` saved, loaded and scored with."""
+    from ..session import scratch_path
+
+    model, _, test = nb_model(spark, d)
+    path = scratch_path(spark, "naive-bayes")
+    NB.save(model, path)
+    p = NB.load(spark, path).predict(test.data, "review_id")
+    return p.select("review_id", "label", "prediction", r6("confidence"))
+
+
 def q_m11_metrics(spark, d):
     model, _, test = nb_model(spark, d)
     m = M.summary_metrics(model.predict(test.data, "review_id"))
@@ -215,6 +226,7 @@ def registry() -> dict:
         "m12_per_class": q_m12_per_class,
         "m13_confusion": q_m13_confusion,
         "m9b_holdout_eval": q_m9b_holdout_eval,
+        "k6_saved_model_scores": q_k6_saved_model_scores,
         "f6_category_rows": q_f6_category_rows,
         "f7_incorrect_rows": q_f7_incorrect_rows,
         "m18_metric_percents": q_m18_metric_percents,

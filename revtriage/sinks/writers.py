@@ -31,28 +31,27 @@ def write_split(split: DataFrame, path: str, fmt: str = "parquet", role_col: str
     split.sortWithinPartitions(role_col, order_col).write.mode("overwrite").partitionBy(role_col).format(fmt).save(path)
 
 
-POINTER = "_CURRENT"
+POINTERS = "pointers"
 
 
 def write_version(df: DataFrame, table_dir: str, fmt: str = "parquet") -> str:
     """K4: update a table that the same job reads.
 
     Spark cannot overwrite a path it is reading; each write goes to a new
-    version folder and the pointer file then names it, so readers see the
-    old version until the new one is complete."""
+    version folder and a pointer written after it names it, so readers see
+    the old version until the new one is complete.  The pointer is a one-row
+    table, so any store that Spark writes to will do; the newest one counts."""
     version = f"v-{uuid.uuid4().hex[:12]}"
     target = os.path.join(table_dir, version)
     df.write.mode("errorifexists").format(fmt).save(target)
-    tmp = os.path.join(table_dir, f".{POINTER}.{version}")
-    with open(tmp, "w") as fh:
-        fh.write(version)
-    os.replace(tmp, os.path.join(table_dir, POINTER))
+    spark = df.sparkSession
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.parquet(f"{table_dir}/{POINTERS}/{version}")
     return target
 
 
 def read_version(spark: SparkSession, table_dir: str, fmt: str = "parquet") -> DataFrame:
-    with open(os.path.join(table_dir, POINTER)) as fh:
-        version = fh.read().strip()
+    pointers = spark.read.option("recursiveFileLookup", "true").parquet(f"{table_dir}/{POINTERS}")
+    version = pointers.select(F.max_by("version", F.struct("_metadata.file_modification_time", "version"))).first()[0]
     return spark.read.format(fmt).load(os.path.join(table_dir, version))
 
 
