@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.aggregate import split_summary
+
 CSV_WRITE = {
     "header": "true", "escape": '"', "quote": '"',
     "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
@@ -57,23 +59,12 @@ def read_version(spark: SparkSession, table_dir: str, fmt: str = "parquet") -> D
 
 def split_summary_markdown(split: DataFrame, source_name: str, label_col: str = "label", role_col: str = "dataset_role",
                            train_role: str = "training", test_role: str = "testing_manual") -> str:
-    """K5: split sizes and label tables sorted by label, rendered as text
-    from the (role, label) count table – a handful of rows."""
-    counts = split.groupBy(role_col, label_col).agg(F.count(F.lit(1)).alias("n")).collect()
-    by_role: dict = {}
-    for r in counts:
-        by_role.setdefault(r[role_col], {})[r[label_col]] = r["n"]
-
-    def table(role):
-        rows = [f"| `{label}` | {n} |" for label, n in sorted(by_role.get(role, {}).items())]
-        return "\n".join(["| Label | Rows |", "|---|---:|", *rows])
-
-    n_train = sum(by_role.get(train_role, {}).values())
-    n_test = sum(by_role.get(test_role, {}).values())
-    lines = [
-        "# Dataset Split Summary", "", f"This file was generated from `{source_name}`.", "",
-        "## Split Sizes", "", f"- Source rows: {n_train + n_test}", f"- Training rows: {n_train}",
-        f"- Testing rows: {n_test}", "", "## Training Label Counts", "", table(train_role), "",
-        "## Testing Label Counts", "", table(test_role),
-    ]
-    return "\n".join(lines)
+    """K5: the A7 rollup (a row per role and label, and their totals) as a
+    Markdown report with one table, a column per role."""
+    n = {(r[role_col], r[label_col]): r["n"] for r in split_summary(split, label_col, role_col).collect()}
+    roles = (train_role, test_role)
+    labels = sorted({label for role, label in n if role in roles and label is not None})
+    body = [(f"`{x}`", *(n.get((role, x), 0) for role in roles)) for x in labels]
+    body.append(("all", *(n.get((role, None), 0) for role in roles)))
+    head = f"Split of `{source_name}`: {n.get((None, None), 0)} rows\n\n| label | {' | '.join(roles)} |\n|---|---:|---:|\n"
+    return head + "\n".join("| " + " | ".join(map(str, row)) + " |" for row in body) + "\n"

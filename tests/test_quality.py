@@ -102,7 +102,7 @@ def test_sinks_roundtrip(spark, tmp_path):
     write_version(cur.where("review_id = 1"), str(tmp_path / "tbl"))
     assert read_version(spark, str(tmp_path / "tbl")).count() == 1
     md = split_summary_markdown(split, "master.csv")
-    assert "- Training rows: 1" in md and "| `y` | 1 |" in md
+    assert "2 rows" in md and "| `y` | 0 | 1 |" in md and "| all | 1 | 1 |" in md
 
 
 def test_merge_without_new_rows_keeps_the_base(spark):
