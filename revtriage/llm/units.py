@@ -27,6 +27,7 @@ import pyarrow as pa
 #: A space before white space or the end: such texts take the pattern below.
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
 _BEFORE_WORD = re.compile(r" (?=\S)")
+_LINE_BREAK = re.compile(r"\S+(?:\n\S+)+")
 _RUN_START = re.compile(r"(?<=[^ ▁])(?= )")
 
 SPACE_MARK = "▁"
@@ -146,16 +147,26 @@ class HubTokenizer:
         """Answers for ``lead + unit``, asking once for the forms of a word.
 
         The patterns of both tokenizers always cut between a letter and a
-        punctuation mark, so a mark that ends a word is a match of its own; a
-        tokenizer that lower-cases gives an ASCII word and its lower case the
-        same ids.
+        punctuation mark, so a mark that ends a word is a match of its own, and
+        a line feed between two other characters than white space is a match of
+        its own too; a tokenizer that lower-cases gives an ASCII word and its
+        lower case the same ids.
         """
-        parts = []
+        parts, folds = [], self.folds
         for u in units:
-            word, mark = (u[:-1], u[-1]) if u[-1:] in _MARKS and u[:-1].isalpha() and max(u) < _LAST_PLAIN else (u, "")
-            parts.append((lead + (word.lower() if self.folds and word.isascii() else word), mark))
-        known = self.words.learn({w for w, _ in parts} | {m for _, m in parts})
-        return [known[w] + known[m] for w, m in parts]
+            lines = u.split("\n") if "\n" in u and _LINE_BREAK.fullmatch(u) else (u,)
+            of_unit, start = [], lead
+            for k, line in enumerate(lines):
+                if k:
+                    of_unit.append("\n")
+                    start = ""
+                if line[-1:] in _MARKS and line[:-1].isalpha() and max(line) < _LAST_PLAIN:
+                    of_unit += [start + (line[:-1].lower() if folds and line.isascii() else line[:-1]), line[-1]]
+                else:
+                    of_unit.append(start + (line.lower() if folds and line.isascii() else line))
+            parts.append(of_unit)
+        known = self.words.learn({w for of_unit in parts for w in of_unit})
+        return [b"".join([known[w] for w in of_unit]) for of_unit in parts]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text; null counts as empty."""
@@ -165,7 +176,8 @@ class HubTokenizer:
             if not text or any(a in text for a in self.added):  # added tokens are looked for across units
                 cut.append(None)
                 continue
-            units = word_units(text)
+            # All white space is one space to a tokenizer that drops it.
+            units = word_units(text.replace("\n", " ") if self.folds else text)
             firsts.add(units[0])
             rests.update(units[1:])
             cut.append(units)
