@@ -7,7 +7,8 @@ each part gets a surrogate from a keyed hash of its kind and normal form:
 * type-consistent: digits stay digits, letters letters, hexadecimal values
   hexadecimal; a valid card number gets one that passes its checksum; country
   codes, punctuation and spacing stay as they were written;
-* names keep the gender that their title shows and their script;
+* names keep the gender that their title shows and their script; initials and
+  particles ("van", "de") stay as they were written;
 * coreference: equal normal forms (case, spacing, punctuation and titles left
   out) have one surrogate in the whole corpus, and a surname alone is replaced
   as it is in a full name;
@@ -58,18 +59,71 @@ SURNAME = {
 }
 
 _TITLE = r"\b(?:" + "|".join(MEN + WOMEN + OTHER) + r")\b\.?"
+_SECRET = r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9+/_.~-]{6,}"
+_ACCESS_KEY = r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"
+_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"
+_IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])"
+_SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+
+#: Lengths of account numbers by country; others take as many groups of four as there are.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA",
+    23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HU|LB|NI|PL|SV",
+    29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban(n: int, countries: str) -> str:
+    fours, rest = divmod(n - 4, 4)
+    return rf"(?:{countries})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+_IBAN = r"\b(?:" + "|".join(_iban(n, c) for n, c in IBAN_LENGTHS.items()) + r")\b|\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
+
+#: Country codes (E.164), and digits after them where all numbers of a country have equally many.
+COUNTRY_CODE = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
+NATIONAL_DIGITS = {8: "45|47|65|370|371|386|852", 9: "27|31|33|34|40|41|48|51|56|61|66|212|213|351|353|380|420|421|886|966|971|972", 10: "1|7|30|44|52|57|63|90|91|92", 11: "86"}
+
+#: A group of digits ends at none of these: it would be cut out of a longer number.
+_STRICT = r"(?![0-9])(?![.-][0-9])"
+_HOME = r"\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])|(?<![0-9.])[0-9]{3}\.[0-9]{3}\.[0-9]{4}" + _STRICT
+_CARD_FIXED = (
+    r"(?:62|5[06-9]|6[37])[0-9]{2}(?:[ -][0-9]{4}){3}[ -][0-9]{3}" + _STRICT + "|"
+    r"(?:[3-6][0-9]|2[2-7])[0-9]{2}(?:[ -][0-9]{4}){3}(?![0-9])|3[0-9]{3}[ -][0-9]{6}[ -][0-9]{4,5}(?![0-9])|[0-9]{13,19}(?![0-9])"
+)
+#: Before a separator in a number of unknown grouping: not the blank before another entity.
+_NO_NEXT = f"(?! (?:{_IP}|{_HOME}|{_SSN}|{_CARD_FIXED}))"
+_SEP = r"(?:[ .-]?\(|\)[ .-]?|[ .-])?"
+_ABROAD = (
+    "|".join(rf"(?:{codes})(?:[ .-]?\(0\))?(?:{_SEP}[0-9]){{{n}}}(?![0-9])" for n, codes in NATIONAL_DIGITS.items())
+    + rf"|(?:{COUNTRY_CODE})(?:[ .-]?\(0\))?(?:{_NO_NEXT}{_SEP}[0-9]){{7,11}}{_STRICT}"
+    + rf"|[0-9]{{1,3}}[ .-]?(?:\([0-9]{{2,4}}\)|[0-9]{{2,4}})(?:{_NO_NEXT}[ .-]?[0-9]{{2,4}}){{2,3}}{_STRICT}"
+    + rf"|[0-9]{{1,3}}[ .-]?(?:\([0-9]{{2,4}}\)|[0-9]{{2,4}})(?:{_NO_NEXT}[ .-]?[0-9]{{2,4}}){{2,3}}(?![0-9])"
+)
+_PHONE = rf"(?<![0-9])\+(?:{_ABROAD})|{_HOME}"
+_CARD = rf"(?<![0-9.-])(?:{_CARD_FIXED}|[0-9]{{4}}(?:{_NO_NEXT}[ -][0-9]{{4}}){{3}}(?![0-9])|[0-9](?:{_NO_NEXT}[ -]?[0-9]){{12,18}}{_STRICT}|[0-9](?:{_NO_NEXT}[ -]?[0-9]){{12,18}}(?![0-9]))"
+
+#: A word of a name: inner capitals and apostrophes belong to it, a possessive ending does not.
+WORD = r"(?<![\p{L}\p{M}\p{N}_])\p{Lu}(?:['’]\p{Lu})?[\p{L}\p{M}]++(?:['’]\p{Lu}[\p{L}\p{M}]++)*+(?![\p{N}_])"
+_PARTICLE = "(?:van|von|der|den|de|la|las|los|del|della|di|da|dos|du|le|el|al|bin|ibn|zu|ter|ten) "
+_BETWEEN = r"(?: (?:\p{Lu}\. ?){0,3}(?:" + _PARTICLE + r"){0,3}|-)"
+#: No word of a name: another title ("Don" is a given name as well), or the start of another entity.
+_STOP = r"(?:" + "|".join(t for t in MEN + WOMEN + OTHER if t != "Don") + r")\b"
+_OTHER_STARTS = f"{_SECRET}|{_ACCESS_KEY}|{_EMAIL}"
+_FIRST_WORD = rf"(?!{_STOP}\.? \p{{Lu}}|{_OTHER_STARTS}){WORD}"
+_NEXT_WORD = rf"(?!{_STOP}|{_OTHER_STARTS}){WORD}"
 #: Type, and pattern of an entity.  Each starts at a place that a look-behind
 #: or its first character fixes, so that a long word is not tried at every place.
 PATTERNS = (
-    ("secret", r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9+/_.~-]{6,}"),
-    ("access_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"),
-    ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
-    ("ip", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])"),
-    ("phone", r"(?<![0-9])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])"),
-    ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    ("card", r"(?<![0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"),
-    ("name", _TITLE + r" (?:\p{Lu}\p{Ll}+[ -]){0,3}\p{Lu}\p{Ll}+"),
+    ("secret", _SECRET),
+    ("access_key", _ACCESS_KEY),
+    ("email", _EMAIL),
+    ("iban", _IBAN),
+    ("ip", _IP),
+    ("phone", _PHONE),
+    ("ssn", _SSN),
+    ("card", _CARD),
+    ("name", _TITLE + r" (?:\p{Lu}\. ?){0,3}(?:" + _PARTICLE + r"){0,3}" + _FIRST_WORD + rf"(?:{_BETWEEN}{_NEXT_WORD}){{0,3}}"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 _SECRET_HEAD = r"^(.*?[:=]\s{0,3}[\"']?)[A-Za-z0-9+/_.~-]{6,}$"
@@ -79,6 +133,11 @@ def _array(values: tuple[str, ...]) -> str:
     return "array(" + ", ".join("'" + v + "'" for v in values) + ")"
 
 
+def _sql(pattern: str) -> str:
+    """``pattern`` as a SQL string."""
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _digits(x: str) -> str:
     return f"regexp_replace({x}, '[^0-9]', '')"
 
@@ -90,6 +149,11 @@ def _type_of(raw: Column) -> Column:
     return out
 
 
+def _plain(w: str) -> str:
+    """SQL: normal form of a word of a name."""
+    return f"replace(lower({w}), '’', chr(39))"
+
+
 #: Per entity row (type, raw): its parts (kind, normal form).
 PARTS = f"""
 CASE type
@@ -98,7 +162,8 @@ CASE type
  WHEN 'email' THEN array(struct('mailbox' AS kind, lower(substring_index(raw, '@', 1)) AS canon), struct('domain' AS kind, lower(substring_index(raw, '@', -1)) AS canon))
  WHEN 'iban' THEN array(struct('iban' AS kind, replace(raw, ' ', '') AS canon))
  WHEN 'ip' THEN array(struct('ip' AS kind, raw AS canon))
- WHEN 'name' THEN transform(_words, (w, i) -> struct(concat(IF(i = size(_words) - 1, 'surname', concat('given_', _gender)), '_', IF(w rlike '\\\\p{{IsCyrillic}}', 'cyrillic', 'latin')) AS kind, lower(w) AS canon))
+ WHEN 'phone' THEN array(struct(concat('phone', length(regexp_extract(raw, '^\\\\+({COUNTRY_CODE})', 1))) AS kind, {_digits("raw")} AS canon))
+ WHEN 'name' THEN transform(_words, (w, i) -> struct(concat(IF(i = size(_words) - 1, 'surname', concat('given_', _gender)), '_', IF(w rlike '\\\\p{{IsCyrillic}}', 'cyrillic', 'latin')) AS kind, {_plain("w")} AS canon))
  ELSE array(struct(type AS kind, {_digits("raw")} AS canon))
 END
 """
@@ -155,7 +220,7 @@ CASE kind
  WHEN 'domain' THEN concat({_shaped("substring(canon, 1, length(canon) - length(substring_index(canon, '.', -1)) - 1)")}, IF(_attempt < 3, '', substring(_h, 1, _attempt)), '.', substring_index(canon, '.', -1))
  WHEN 'iban' THEN concat(substring(canon, 1, 2), substring({_shaped("canon")}, 3))
  WHEN 'ip' THEN concat_ws('.', {", ".join(f"cast(1 + {_byte(str(i))} % 254 AS string)" for i in range(4))})
- WHEN 'phone' THEN concat(substring(canon, 1, greatest(0, length(canon) - 10)), substring({_shaped("canon")}, greatest(0, length(canon) - 10) + 1))
+ {" ".join(f"WHEN 'phone{n}' THEN concat(substring(canon, 1, {n}), substring({_shaped('canon')}, {n + 1}))" for n in range(4))}
  WHEN 'card' THEN {_card()}
  {_name_sql()}
  ELSE {_shaped("canon")}
@@ -171,7 +236,7 @@ RENDERED = f"""
 CASE type
  WHEN 'secret' THEN concat(regexp_extract(raw, '{_SECRET_HEAD.replace(chr(92), chr(92) * 2).replace("'", chr(92) + "'")}', 1), _parts[0].surrogate)
  WHEN 'email' THEN concat(_parts[0].surrogate, '@', _parts[1].surrogate)
- WHEN 'name' THEN concat(substring_index(raw, ' ', 1), ' ', array_join(transform(_parts, p -> p.surrogate), ' '))
+ WHEN 'name' THEN concat(substring_index(raw, ' ', 1), ' ', array_join(zip_with(split(substring(raw, length(substring_index(raw, ' ', 1)) + 2), {_sql(WORD)}, -1), _parts, (s, p) -> concat(s, coalesce(p.surrogate, ''))), ''))
  WHEN 'ip' THEN _parts[0].surrogate
  WHEN 'access_key' THEN _parts[0].surrogate
  ELSE {_FILLED}
@@ -184,7 +249,7 @@ def with_parts(entities: DataFrame) -> DataFrame:
     title = F.regexp_replace(F.substring_index("raw", " ", 1), r"\.$", "")
     gender = F.when(title.isin(*MEN), "man").when(title.isin(*WOMEN), "woman").otherwise("any")
     x = entities.withColumn("type", _type_of(F.col("raw"))).withColumn("_gender", gender)
-    x = x.withColumn("_words", F.split(F.regexp_replace("raw", r"^\S+ ", ""), "[ -]", -1))
+    x = x.withColumn("_words", F.regexp_extract_all(F.regexp_replace("raw", r"^\S+ ", ""), F.lit(WORD), F.lit(0)))
     return x.withColumn("parts", F.expr(PARTS)).drop("_gender", "_words")
 
 
@@ -217,7 +282,7 @@ def free_name(name: str, df: DataFrame) -> str:
 
 def replace_pii(docs: DataFrame, text_col: str = "text", key: str = KEY, count_col: str = "n_entities") -> DataFrame:
     """``docs`` with the entities of the text column replaced, and their number as a last column."""
-    count_col, found_col, row_col, new_col = (free_name(n, docs) for n in (count_col, "_pii_found", "_pii_row", "_pii_new"))
+    count_col, found_col, row_col = (free_name(n, docs) for n in (count_col, "_pii_found", "_pii_row"))
     text = F.col(f"`{text_col}`")
     rows = docs.withColumn(found_col, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).withColumn(row_col, F.monotonically_increasing_id())
     rows = materialise(rows, "with-entities")
@@ -236,10 +301,10 @@ def replace_pii(docs: DataFrame, text_col: str = "text", key: str = KEY, count_c
         .withColumn("_other", F.when(account, "[^A-Z0-9]").otherwise("[^0-9]"))
         .withColumn("_new", F.expr(RENDERED))
     )
-    per_row = rendered.groupBy(F.col("_row").alias(row_col)).agg(F.sort_array(F.collect_list(F.struct("_pos", "_new"))).alias(new_col))
-    gaps = F.split(text, ANY, -1)
-    glued = F.array_join(F.zip_with(gaps, F.col(new_col)["_new"], lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
-    changed = holders.join(per_row, row_col).withColumn(text_col, glued)
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    unchanged = rows.where(number == 0).select(*own, F.lit(0).alias(count_col))
-    return changed.select(*own, number.alias(count_col)).unionByName(unchanged)
+    per_row = rendered.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_pos", "_new"))).alias("_new"))
+    others = F.struct(row_col, *[f"`{c}`" for c in docs.columns if c != text_col]).alias("_others")
+    texts = holders.select(F.col(row_col).alias("_row"), F.split(text, ANY, -1).alias("_gaps"), number.alias("_n"), others).join(per_row, "_row")
+    glued = F.array_join(F.zip_with("_gaps", F.col("_new")["_new"], lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
+    changed = texts.select(*[(glued if c == text_col else F.col("_others").getField(c)).alias(c) for c in docs.columns], F.col("_n").alias(count_col))
+    unchanged = rows.where(number == 0).select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).alias(count_col))
+    return changed.unionByName(unchanged)
