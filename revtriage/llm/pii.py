@@ -11,7 +11,9 @@ each part gets a surrogate from a keyed hash of its kind and normal form:
   particles ("van", "de") stay as they were written;
 * coreference: equal normal forms (case, spacing, punctuation and titles left
   out) have one surrogate in the whole corpus, and a surname alone is replaced
-  as it is in a full name;
+  as it is in a full name.  A name is found by its title; other capitalised
+  mentions of its words in the same text are then replaced too, each counted as
+  an entity;
 * distinctness: no two parts of a kind share a surrogate and no surrogate is a
   part that occurs in the corpus.  Parts that collide take their next attempt
   until none does; who settled first keeps his, so the outcome depends neither
@@ -84,6 +86,13 @@ _IBAN = r"\b(?:" + "|".join(_iban(n, c) for n, c in IBAN_LENGTHS.items()) + r")\
 COUNTRY_CODE = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 NATIONAL_DIGITS = {8: "45|47|65|370|371|386|852", 9: "27|31|33|34|40|41|48|51|56|61|66|212|213|351|353|380|420|421|886|966|971|972", 10: "1|7|30|44|52|57|63|90|91|92", 11: "86"}
 
+_H = "[0-9A-Fa-f]{1,4}"
+_IP6 = (
+    r"(?<![\p{L}\p{N}_:.])(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:]*+)(?=[A-Fa-f:]*[0-9])(?:"
+    + "|".join([f"(?:{_H}:){{7}}{_H}", *[f"(?:{_H}:){{1,{7 - k}}}(?::{_H}){{1,{k}}}" for k in range(1, 7)], f":(?::{_H}){{1,7}}", f"(?:{_H}:){{1,7}}:"])
+    + r")(?![\p{L}\p{N}_:])(?!\.[0-9])"
+)
+
 #: A group of digits ends at none of these: it would be cut out of a longer number.
 _STRICT = r"(?![0-9])(?![.-][0-9])"
 _HOME = r"\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])|(?<![0-9.])[0-9]{3}\.[0-9]{3}\.[0-9]{4}" + _STRICT
@@ -120,6 +129,7 @@ PATTERNS = (
     ("email", _EMAIL),
     ("iban", _IBAN),
     ("ip", _IP),
+    ("ip6", _IP6),
     ("phone", _PHONE),
     ("ssn", _SSN),
     ("card", _CARD),
@@ -162,6 +172,7 @@ CASE type
  WHEN 'email' THEN array(struct('mailbox' AS kind, lower(substring_index(raw, '@', 1)) AS canon), struct('domain' AS kind, lower(substring_index(raw, '@', -1)) AS canon))
  WHEN 'iban' THEN array(struct('iban' AS kind, replace(raw, ' ', '') AS canon))
  WHEN 'ip' THEN array(struct('ip' AS kind, raw AS canon))
+ WHEN 'ip6' THEN array(struct('ip6' AS kind, array_join(transform(concat(_left, array_repeat('0', 8 - size(_left) - size(_right)), _right), x -> lpad(x, 4, '0')), ':') AS canon))
  WHEN 'phone' THEN array(struct(concat('phone', length(regexp_extract(raw, '^\\\\+({COUNTRY_CODE})', 1))) AS kind, {_digits("raw")} AS canon))
  WHEN 'name' THEN transform(_words, (w, i) -> struct(concat(IF(i = size(_words) - 1, 'surname', concat('given_', _gender)), '_', IF(w rlike '\\\\p{{IsCyrillic}}', 'cyrillic', 'latin')) AS kind, {_plain("w")} AS canon))
  ELSE array(struct(type AS kind, {_digits("raw")} AS canon))
@@ -220,6 +231,7 @@ CASE kind
  WHEN 'domain' THEN concat({_shaped("substring(canon, 1, length(canon) - length(substring_index(canon, '.', -1)) - 1)")}, IF(_attempt < 3, '', substring(_h, 1, _attempt)), '.', substring_index(canon, '.', -1))
  WHEN 'iban' THEN concat(substring(canon, 1, 2), substring({_shaped("canon")}, 3))
  WHEN 'ip' THEN concat_ws('.', {", ".join(f"cast(1 + {_byte(str(i))} % 254 AS string)" for i in range(4))})
+ WHEN 'ip6' THEN concat_ws(':', {", ".join(f"substring(_h, {4 * i + 1}, 4)" for i in range(8))})
  {" ".join(f"WHEN 'phone{n}' THEN concat(substring(canon, 1, {n}), substring({_shaped('canon')}, {n + 1}))" for n in range(4))}
  WHEN 'card' THEN {_card()}
  {_name_sql()}
@@ -238,6 +250,7 @@ CASE type
  WHEN 'email' THEN concat(_parts[0].surrogate, '@', _parts[1].surrogate)
  WHEN 'name' THEN concat(substring_index(raw, ' ', 1), ' ', array_join(zip_with(split(substring(raw, length(substring_index(raw, ' ', 1)) + 2), {_sql(WORD)}, -1), _parts, (s, p) -> concat(s, coalesce(p.surrogate, ''))), ''))
  WHEN 'ip' THEN _parts[0].surrogate
+ WHEN 'ip6' THEN _parts[0].surrogate
  WHEN 'access_key' THEN _parts[0].surrogate
  ELSE {_FILLED}
 END
@@ -250,7 +263,17 @@ def with_parts(entities: DataFrame) -> DataFrame:
     gender = F.when(title.isin(*MEN), "man").when(title.isin(*WOMEN), "woman").otherwise("any")
     x = entities.withColumn("type", _type_of(F.col("raw"))).withColumn("_gender", gender)
     x = x.withColumn("_words", F.regexp_extract_all(F.regexp_replace("raw", r"^\S+ ", ""), F.lit(WORD), F.lit(0)))
-    return x.withColumn("parts", F.expr(PARTS)).drop("_gender", "_words")
+    for name, i in (("_left", 1), ("_right", 2)):
+        x = x.withColumn(name, F.expr(f"filter(split(split_part(lower(raw), '::', {i}), ':'), x -> x <> '')"))
+    return x.withColumn("parts", F.expr(PARTS)).drop("_gender", "_words", "_left", "_right")
+
+
+#: A gap between entities whose words are looked up among the names of its text (map _names), as they are written there or in capitals.
+_MENTIONED = f"_names[{_plain('w')}]"
+_NAMED = f"coalesce(IF(w = upper(w), upper({_MENTIONED}), {_MENTIONED}), w)"
+_WORDS_OF = f"regexp_extract_all(g, {_sql(WORD)}, 0)"
+MENTIONS = f"aggregate(_gaps, 0, (n, g) -> n + size(filter({_WORDS_OF}, w -> {_MENTIONED} IS NOT NULL)))"
+RENAMED = f"transform(_gaps, g -> array_join(zip_with(split(g, {_sql(WORD)}, -1), {_WORDS_OF}, (s, w) -> concat(s, coalesce({_NAMED}, ''))), ''))"
 
 
 def settle(parts: DataFrame, key: str, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
@@ -302,8 +325,15 @@ def replace_pii(docs: DataFrame, text_col: str = "text", key: str = KEY, count_c
         .withColumn("_new", F.expr(RENDERED))
     )
     per_row = rendered.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_pos", "_new"))).alias("_new"))
+    rank = F.struct(~F.col("kind").startswith("surname"), "kind", "surrogate")
+    words = parts.where("kind LIKE 'surname%' OR kind LIKE 'given%'").select("_row", "kind", "canon").distinct().join(dictionary, ["kind", "canon"])
+    words = words.groupBy("_row", "canon").agg(F.min(rank)["surrogate"].alias("_s"))
+    names = words.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("canon", "_s"))).alias("_names"))
+    per_row = per_row.join(names, "_row", "left")
     others = F.struct(row_col, *[f"`{c}`" for c in docs.columns if c != text_col]).alias("_others")
     texts = holders.select(F.col(row_col).alias("_row"), F.split(text, ANY, -1).alias("_gaps"), number.alias("_n"), others).join(per_row, "_row")
+    has_names = F.col("_names").isNotNull()
+    texts = texts.withColumn("_n", F.col("_n") + F.when(has_names, F.expr(MENTIONS)).otherwise(0)).withColumn("_gaps", F.when(has_names, F.expr(RENAMED)).otherwise(F.col("_gaps")))
     glued = F.array_join(F.zip_with("_gaps", F.col("_new")["_new"], lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
     changed = texts.select(*[(glued if c == text_col else F.col("_others").getField(c)).alias(c) for c in docs.columns], F.col("_n").alias(count_col))
     unchanged = rows.where(number == 0).select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).alias(count_col))
