@@ -11,8 +11,9 @@ closes first.
 
 Plan: one scan makes the piece table (a few numbers per piece), which is
 written down; pieces are dealt at random to tasks of ``PIECES_PER_TASK``
-pieces, and each task packs its own, in blocks of ``BLOCK`` sorted longest
-first, so that long pieces open bins and short ones fill them.  Tasks share
+pieces, and each task packs its own, in runs of as many pieces as bins may be
+open, sorted longest first, so that long pieces open bins and short ones fill
+them before any has to close for want of a place.  Tasks share
 nothing, so nothing passes through one task; each leaves at most a few part-full
 bins beyond what a packing in one task would have.
 
@@ -123,7 +124,8 @@ def pack(table: DataFrame, limit: int = SEQUENCE, open_bins: int = OPEN_BINS, pi
         bins = OpenBins(limit, open_bins)
 
         def packed(block: list[pd.DataFrame]) -> pd.DataFrame:
-            x = pd.concat(block, ignore_index=True).sort_values("length", ascending=False, kind="stable")
+            x = pd.concat(block, ignore_index=True)
+            x = x.iloc[np.lexsort((-x["length"].to_numpy(), np.arange(len(x)) // open_bins))]
             placed = [bins.place(n) for n in x["length"].tolist()]
             x["sequence_id"] = np.array([base + b for b, _ in placed], np.int64)
             x["offset"] = np.array([o for _, o in placed], np.int64)

@@ -169,6 +169,14 @@ def _closed(plain, bins):
     return gone
 
 
+def test_packing_of_many_long_pieces_in_one_task(spark):
+    table = spark.range(60_000).selectExpr("id AS doc_id", "0 AS piece", "1 + pmod(xxhash64(id), 1024) AS length")
+    out = packing.pack(packing.materialise(table, "many"))
+    pieces, total, made, over = out.selectExpr("count(*)", "sum(length)", "count(DISTINCT sequence_id)", "sum(int(offset + length > 1024))").first()
+    assert (pieces, over) == (60_000, 0)
+    assert made <= 1.01 * -(-total // 1024)
+
+
 @pytest.mark.parametrize("run", [token_counts.token_counts, sentencepiece_encode.encode_with_spans, packing.best_fit_packing])
 def test_empty_tables(spark, run):
     assert run(frame(spark, [])).count() == 0
