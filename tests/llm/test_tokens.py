@@ -1,6 +1,7 @@
 """Token operators against the libraries."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -59,6 +60,14 @@ def test_spans_and_ids_are_the_library_s(pieces):
                     assert (p.begin, p.end) == (begin, end)
 
 
+def test_long_units_merge_as_short_ones(pieces):
+    merger = token_counts.RankMerger(file_of(PIECE))
+    rng = random.Random(5)
+    units = ["x" * 700, "É日本x1" * 80, *["".join(rng.choice("aeioutnrshl") for _ in range(n)) for n in (3, 40, 255, 256, 257, 900)]]
+    together = merger._merge_together(units).tolist()
+    assert together == [merger._merge_one(u) for u in units] == merger.counts(units) == [len(pieces.encode(u)) for u in units]
+
+
 def test_character_map_is_the_library_s():
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
