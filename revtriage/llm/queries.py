@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
+from .alignment import align_documents
 from .common import table
 from .dac import token_files
 from .exact_dedup import exact_dedup
+from .language_id import identify_languages
 from .ngram_join import jaccard_components
 from .packing import best_fit_packing
+from .periodic_runs import periodic_runs, run_digest, with_planted_runs
 from .pii import replace_pii
 from .quality import judge_quality
 from .sentencepiece_encode import encode_with_spans, span_digest
@@ -62,6 +65,20 @@ def op10_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_pii(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(periodic_runs(with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = lambda text: F.when(text == "", "").otherwise(F.sha2(text.cast("binary"), 256))
+    rows, _ = align_documents(table(spark, sf_dir, "documents"), groups=digest)
+    return rows.withColumnRenamed("groups", "groups_sha256").drop("n_overlaps")
+
+
+def op13_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_ngram_jaccard_join,
@@ -74,6 +91,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_best_fit_packing,
         op9_weak_supervision_quality,
         op10_surrogate_pii,
+        op11_periodic_runs,
+        op12_cross_tokenizer_alignment,
+        op13_language_filters,
     ]
     return {f.__name__: f for f in found}
 
