@@ -12,12 +12,12 @@ actually seen:
     jll(d, c) = prior_c + (ln alpha - ln(S_c + alpha V)) * sum_t x_dt
                 + sum_{t seen in c} x_dt * (ln(s_ct + alpha) - ln alpha)
 
-so scoring joins document terms only with (class, term) pairs that exist;
-no documents x classes x terms expansion.  The per-class constants (one
-row per class) are folded into literal arrays; every document gets its
-class scores in its own row, the label is the first class of highest score
-(classes in sorted order) and the confidence the highest softmax
-probability.  The prior is the class frequency, or uniform.
+so a model is one (term, idf, delta per class) table, with 0 where a class has
+not seen the term; a document is scored by one join with it and one aggregate.
+The per-class constants (one row per class) are folded into literal arrays; the
+label is the first class of highest score (classes in sorted order) and the
+confidence the highest softmax probability.  The prior is the class frequency,
+or uniform.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import json
 import math
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import NB_ALPHA, TfidfParams
@@ -34,60 +34,40 @@ from ..session import cut_lineage
 from . import tfidf as TF
 
 
+def class_of(scores: Column, classes: list[str]) -> Column:
+    """The first class of highest score."""
+    return F.element_at(F.array(*[F.lit(c) for c in classes]), F.array_position(scores, F.array_max(scores)).cast("int"))
+
+
 @dataclass
 class NaiveBayesModel:
     vectorizer: TF.TfidfModel
     classes: list[str]  # sorted
     prior: list[float]
     base: list[float]  # ln alpha - ln(S_c + alpha V)
-    delta: DataFrame  # label, term, delta = ln(s_ct + alpha) - ln alpha
+    table: DataFrame  # term, idf, coef = [ln(s_ct + alpha) - ln alpha per class]
     alpha: float
     fit_prior: bool
 
     def predict(self, df: DataFrame, id_col: str, clean_col: str = "clean_text") -> DataFrame:
         """Adds ``prediction`` (class), ``confidence`` (max probability) and
         ``probability`` (array in ``classes`` order) to every row of ``df``."""
-        x = self.vectorizer.transform(df.select(id_col, clean_col), id_col, clean_col)
-        return self.score_weights(df, x, id_col)
-
-    def score_weights(self, df: DataFrame, x: DataFrame, id_col: str) -> DataFrame:
-        seen = (
-            x.join(self.delta, "term", "inner")
-            .groupBy(id_col, "label")
-            .agg(F.sum(F.col("weight") * F.col("delta")).alias("s"))
-            .groupBy(id_col)
-            .agg(F.map_from_entries(F.collect_list(F.struct("label", "s"))).alias("_seen"))
-        )
-        total = x.groupBy(id_col).agg(F.sum("weight").alias("_sumx"))
-        per_doc = total.join(seen, id_col, "left")
-        out = df.join(per_doc, id_col, "left")
-        sumx = F.coalesce(F.col("_sumx"), F.lit(0.0))
-        jll = F.array(
-            *[
-                F.lit(p) + F.lit(b) * sumx + F.coalesce(F.col("_seen")[F.lit(c)], F.lit(0.0))
-                for c, p, b in zip(self.classes, self.prior, self.base)
-            ]
-        )
-        out = out.withColumn("_jll", jll)
-        mx = F.array_max("_jll")
-        out = out.withColumn("_mx", mx)
-        # First class of highest score (sorted class order).
-        out = out.withColumn("_arg", F.array_position(F.col("_jll"), F.col("_mx")))
-        probs = F.transform("_jll", lambda v: F.exp(v - F.col("_mx")))
-        out = out.withColumn("_e", probs)
+        known = TF.linear_scores(df.select(id_col, clean_col), id_col, clean_col, self.vectorizer.params, self.table, len(self.classes))
+        out = df.join(known, id_col, "left")
+        total = F.coalesce(F.col("_sum"), F.lit(0.0))
+        jll = [F.lit(p) + F.lit(b) * total + F.coalesce(F.col("_scores")[k], F.lit(0.0)) for k, (p, b) in enumerate(zip(self.prior, self.base, strict=True))]
+        out = out.withColumn("_jll", F.array(*jll))
+        out = out.withColumn("_e", F.transform("_jll", lambda v: F.exp(v - F.array_max("_jll"))))
         z = F.aggregate("_e", F.lit(0.0), lambda acc, v: acc + v)
         out = out.withColumn("probability", F.transform("_e", lambda v: v / z))
-        classes = F.array(*[F.lit(c) for c in self.classes])
-        out = out.withColumn("prediction", F.element_at(classes, F.col("_arg").cast("int")))
-        out = out.withColumn("confidence", F.array_max("probability"))
-        return out.drop("_sumx", "_seen", "_jll", "_mx", "_arg", "_e")
+        out = out.withColumn("prediction", class_of(F.col("_jll"), self.classes)).withColumn("confidence", F.array_max("probability"))
+        return out.drop("_sum", "_scores", "_jll", "_e")
 
 
 def save(model: NaiveBayesModel, path: str) -> None:
-    """The fitted model as three tables: vocabulary, class-term weights, parameters."""
-    spark = model.delta.sparkSession
-    model.vectorizer.vocab.write.mode("overwrite").parquet(f"{path}/vocabulary")
-    model.delta.write.mode("overwrite").parquet(f"{path}/weights")
+    """The fitted model as two tables: terms with idf and class weights, and the parameters."""
+    spark = model.table.sparkSession
+    model.table.join(model.vectorizer.vocab.select("term", "df"), "term").write.mode("overwrite").parquet(f"{path}/terms")
     row = (
         model.classes, model.prior, model.base, float(model.alpha), model.fit_prior,
         model.vectorizer.n_docs, model.vectorizer.vocab_size, json.dumps(asdict(model.vectorizer.params)),
@@ -96,13 +76,18 @@ def save(model: NaiveBayesModel, path: str) -> None:
     spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/parameters")
 
 
-def load(spark: SparkSession, path: str) -> NaiveBayesModel:
-    p = spark.read.parquet(f"{path}/parameters").first()
-    settings = json.loads(p["vectorizer"])
+def params_of(text: str) -> TfidfParams:
+    settings = json.loads(text)
     if settings["stop_words"] is not None:
         settings["stop_words"] = tuple(settings["stop_words"])
-    vectorizer = TF.TfidfModel(spark.read.parquet(f"{path}/vocabulary"), p["n_docs"], p["vocab_size"], TfidfParams(**settings))
-    return NaiveBayesModel(vectorizer, list(p["classes"]), list(p["prior"]), list(p["base"]), spark.read.parquet(f"{path}/weights"), p["alpha"], p["fit_prior"])
+    return TfidfParams(**settings)
+
+
+def load(spark: SparkSession, path: str) -> NaiveBayesModel:
+    p = spark.read.parquet(f"{path}/parameters").first()
+    terms = spark.read.parquet(f"{path}/terms")
+    vectorizer = TF.TfidfModel(terms.select("term", "df", "idf"), p["n_docs"], p["vocab_size"], params_of(p["vectorizer"]))
+    return NaiveBayesModel(vectorizer, list(p["classes"]), list(p["prior"]), list(p["base"]), terms.select("term", "idf", "coef"), p["alpha"], p["fit_prior"])
 
 
 def fit(
@@ -122,16 +107,13 @@ def fit(
     else:
         vec = vectorizer
         x = vec.transform(docs, id_col, clean_col, keep=["label"])
-    sums = cut_lineage(x.groupBy("label", "term").agg(F.sum("weight").alias("s")))
-    # One row per class: document count and weight total.
-    per_class = {r["label"]: (int(r["n"]), 0.0) for r in docs.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    for r in sums.groupBy("label").agg(F.sum("s").alias("S")).collect():
-        n, _ = per_class[r["label"]]
-        per_class[r["label"]] = (n, float(r["S"]))
-    classes = sorted(per_class)
-    n_all = sum(per_class[c][0] for c in classes)
-    V = vec.vocab_size
-    prior = [math.log(per_class[c][0] / n_all) if fit_prior else -math.log(len(classes)) for c in classes]
-    base = [math.log(alpha) - math.log(per_class[c][1] + alpha * V) for c in classes]
-    delta = sums.select("label", "term", (F.log(F.col("s") + F.lit(alpha)) - F.lit(math.log(alpha))).alias("delta"))
-    return NaiveBayesModel(vec, classes, prior, base, delta, alpha, fit_prior)
+    rows = {r["label"]: int(r["n"]) for r in docs.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per class
+    classes = sorted(rows)
+    sums = x.groupBy("term").agg(*[F.coalesce(F.sum(F.when(F.col("label") == c, F.col("weight"))), F.lit(0.0)).alias(f"_s{k}") for k, c in enumerate(classes)])
+    sums = cut_lineage(sums.join(vec.vocab.select("term", "idf"), "term"))
+    total = sums.agg(*[F.coalesce(F.sum(f"_s{k}"), F.lit(0.0)) for k in range(len(classes))]).first()
+    n_all = sum(rows.values())
+    prior = [math.log(rows[c] / n_all) if fit_prior else -math.log(len(classes)) for c in classes]
+    base = [math.log(alpha) - math.log(total[k] + alpha * vec.vocab_size) for k in range(len(classes))]
+    coef = F.array(*[F.log(F.col(f"_s{k}") + F.lit(alpha)) - F.lit(math.log(alpha)) for k in range(len(classes))])
+    return NaiveBayesModel(vec, classes, prior, base, sums.select("term", "idf", coef.alias("coef")), alpha, fit_prior)

