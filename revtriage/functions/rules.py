@@ -1,23 +1,23 @@
 """Weak-label rule scoring as native column expressions.
 
 Phrases are matched as substrings of the rule-cleaned text (no word
-boundary, each phrase once), tokens against the text's word set.  Every
-vocabulary entry is a literal inside a plain ``contains`` /
-``array_contains`` sum, so scoring stays inside whole-stage codegen (no
-higher-order function, no join against a rules table, no shuffle).
-``score_rows`` adds the steps as separate projections so that the cleaned
-text, the word set and the per-label scores are computed once per row.
+boundary), tokens against the text's word set.  A vocabulary is one literal
+array of all its phrases and one of all its tokens, whatever the number of
+labels: a row's phrases found and tokens present are two small arrays, made
+once, and each label's score is the size of their intersection with its own
+literal array.  Code size does not grow with the vocabulary, so the generated
+methods stay small enough to be compiled, and nothing is joined or shuffled.
+``score_rows`` adds the steps as separate projections so that each is computed
+once per row.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RuleSet, TermVocabulary
-from .text import _c, rule_clean, token_set
+from .text import rule_clean, token_set
 
 
 def fence(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -33,48 +33,43 @@ def fence(df: DataFrame, cols: list[str]) -> DataFrame:
     return out.select(*order)
 
 
-def _sum(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, cols) if cols else F.lit(0)
+def _literal(words) -> Column:
+    return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
 
 
-def phrase_count(norm: Column, phrases) -> Column:
-    """Number of list entries found as substrings (duplicates count twice)."""
-    return _sum([F.contains(norm, F.lit(p)).cast("int") for p in phrases])
+def phrases_found(norm: Column, phrases) -> Column:
+    """The distinct phrases that are substrings of the text."""
+    return F.filter(_literal(list(dict.fromkeys(phrases))), lambda p: F.contains(norm, p))
 
 
-def token_count(words: Column, tokens) -> Column:
-    """Number of distinct vocabulary tokens present in the word set."""
-    return _sum([F.array_contains(words, F.lit(t)).cast("int") for t in dict.fromkeys(tokens)])
+def tokens_present(words: Column, tokens) -> Column:
+    """The distinct vocabulary tokens in the word set."""
+    return F.array_intersect(words, _literal(list(dict.fromkeys(tokens))))
 
 
-def any_phrase(norm: Column, phrases) -> Column:
-    if not phrases:
-        return F.lit(False)
-    return reduce(lambda a, b: a | b, [F.contains(norm, F.lit(p)) for p in phrases])
+def entry_count(found: Column, entries) -> Column:
+    """How many of the list's entries are among ``found``; an entry that the list repeats counts as often."""
+    distinct = list(dict.fromkeys(entries))
+    out = F.size(F.array_intersect(found, _literal(distinct))) if distinct else F.lit(0)
+    for e in distinct:
+        if (n := list(entries).count(e)) > 1:
+            out = out + F.lit(n - 1) * F.array_contains(found, F.lit(e)).cast("int")
+    return out
 
 
-def term_score(norm: Column, words: Column, phrases, tokens, phrase_weight=2, token_weight=1) -> Column:
+def term_score(found: Column, present: Column, phrases, tokens, phrase_weight=2, token_weight=1) -> Column:
     """Weight per phrase found + weight per token in the word set."""
-    return (F.lit(phrase_weight) * phrase_count(norm, phrases) + F.lit(token_weight) * token_count(words, tokens)).cast("int")
-
-
-def matched_terms(norm: Column, words: Column, phrases, tokens) -> Column:
-    """Phrases found and tokens present, distinct and sorted."""
-    hits = [F.when(F.contains(norm, F.lit(p)), F.lit(p)) for p in phrases]
-    hits += [F.when(F.array_contains(words, F.lit(t)), F.lit(t)) for t in tokens]
-    if not hits:
-        return F.array().cast("array<string>")
-    return F.sort_array(F.array_distinct(F.array_compact(F.array(*hits))))
+    return (F.lit(phrase_weight) * entry_count(found, phrases) + F.lit(token_weight) * entry_count(present, list(dict.fromkeys(tokens)))).cast("int")
 
 
-def excluded(norm: Column, label: Column, ruleset: RuleSet) -> Column:
+def excluded(found: Column, label: Column, ruleset: RuleSet) -> Column:
     """Praise phrase (unless the winner is exempt) or an exclude phrase of the winner."""
-    praise = any_phrase(norm, ruleset.positive_phrases)
+    praise = F.arrays_overlap(found, _literal(ruleset.positive_phrases))
     if ruleset.praise_exempt_label is not None:
         praise = praise & (label != F.lit(ruleset.praise_exempt_label))
     own = F.lit(False)
     for r in ruleset.rules:
-        own = F.when(label == F.lit(r.label), any_phrase(norm, r.exclude_phrases)).otherwise(own)
+        own = F.when(label == F.lit(r.label), F.arrays_overlap(found, _literal(r.exclude_phrases))).otherwise(own)
     return praise | own
 
 
@@ -85,9 +80,9 @@ def score_rows(df: DataFrame, ruleset: RuleSet, text_col: str = "text", prefix:
     -> ambiguous_overlap; excluded -> positive_or_resolved; else the label.
     Ties between labels go to the earlier label (I7).
     """
-    norm, words = f"{prefix}norm", f"{prefix}words"
-    x = df.withColumn(norm, rule_clean(text_col)).withColumn(words, token_set(norm))
-    n, w = F.col(norm), F.col(words)
+    phrases = [p for r in ruleset.rules for p in (*r.phrases, *r.exclude_phrases)] + list(ruleset.positive_phrases)
+    x = _matches(df, text_col, phrases, [t for r in ruleset.rules for t in r.tokens], prefix)
+    n, w = F.col(f"{prefix}found"), F.col(f"{prefix}present")
     score_cols = [f"{prefix}s{i}" for i in range(len(ruleset.rules))]
     x = x.withColumns(
         {c: term_score(n, w, r.phrases, r.tokens, ruleset.phrase_weight, ruleset.token_weight) for c, r in zip(score_cols, ruleset.rules)}
@@ -118,34 +113,18 @@ def score_rows(df: DataFrame, ruleset: RuleSet, text_col: str = "text", prefix:
     return fence(out, ["suggested_label", "rule_score", "review_status"])
 
 
+def _matches(df: DataFrame, text_col: str, phrases, tokens, prefix: str) -> DataFrame:
+    """Adds the phrases found and the tokens present."""
+    norm = f"{prefix}norm"
+    x = df.withColumn(norm, rule_clean(text_col))
+    x = x.withColumns({f"{prefix}found": phrases_found(F.col(norm), phrases), f"{prefix}present": tokens_present(token_set(norm), tokens)})
+    return x.drop(norm)
+
+
 def vocabulary_rows(df: DataFrame, vocab: TermVocabulary, text_col: str = "text", prefix: str = "_v") -> DataFrame:
     """X8 over a table: adds ``score`` and ``matched_terms`` (array)."""
-    norm, words = f"{prefix}norm", f"{prefix}words"
-    x = df.withColumn(norm, rule_clean(text_col)).withColumn(words, token_set(norm))
-    n, w = F.col(norm), F.col(words)
-    x = x.withColumn("score", term_score(n, w, vocab.phrases, vocab.tokens, vocab.phrase_weight, vocab.token_weight))
-    x = x.withColumn("matched_terms", matched_terms(n, w, vocab.phrases, vocab.tokens))
-    return fence(x.drop(norm, words), ["score", "matched_terms"])
-
-
-def weak_label(norm_col, ruleset: RuleSet) -> Column:
-    """X7 as one expression (for row-at-a-time use in ``select``); prefer
-    :func:`score_rows` on tables, which computes each step once."""
-    norm = _c(norm_col)
-    words = token_set(norm)
-    ranked = F.sort_array(
-        F.array(*[F.struct((-term_score(norm, words, r.phrases, r.tokens, ruleset.phrase_weight, ruleset.token_weight)).alias("neg"),
-                           F.lit(i).alias("priority"), F.lit(r.label).alias("label"))
-                  for i, r in enumerate(ruleset.rules)])
-    )
-    top = (-ranked.getItem(0)["neg"]).cast("int")
-    label = ranked.getItem(0)["label"]
-    ambiguous = (top < (-ranked.getItem(1)["neg"]) + F.lit(ruleset.min_margin)) if len(ruleset.rules) > 1 else F.lit(False)
-    status = (
-        F.when(top < ruleset.min_score, F.lit("too_weak"))
-        .when(ambiguous, F.lit("ambiguous_overlap"))
-        .when(excluded(norm, label, ruleset), F.lit("positive_or_resolved"))
-        .otherwise(F.lit("high_confidence_rule_match"))
-    )
-    sug = F.when(status == "high_confidence_rule_match", label).otherwise(F.lit(None).cast("string"))
-    return F.struct(sug.alias("suggested_label"), top.alias("rule_score"), status.alias("review_status"))
+    found, present = f"{prefix}found", f"{prefix}present"
+    x = _matches(df, text_col, vocab.phrases, vocab.tokens, prefix)
+    x = x.withColumn("score", term_score(F.col(found), F.col(present), vocab.phrases, vocab.tokens, vocab.phrase_weight, vocab.token_weight))
+    x = x.withColumn("matched_terms", F.sort_array(F.array_union(found, present)))
+    return fence(x.drop(found, present), ["score", "matched_terms"])

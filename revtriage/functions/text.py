@@ -134,3 +134,16 @@ def na_to_null(col, tokens=config.NA_TOKENS) -> Column:
 def format_timestamp(col) -> Column:
     """``yyyy-MM-dd HH:mm:ss``."""
     return F.date_format(_c(col), "yyyy-MM-dd HH:mm:ss")
+
+
+def balance_mode(balanced: bool) -> str:
+    """The name of a training mode."""
+    return "balanced" if balanced else "unbalanced"
+
+
+def is_balanced(mode: str) -> bool:
+    """X13, the other way; an error for other names."""
+    names = {balance_mode(b): b for b in (True, False)}
+    if mode not in names:
+        raise ValueError(f"{mode!r} is no training mode; there are {sorted(names)}")
+    return names[mode]

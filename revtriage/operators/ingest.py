@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.text import unicode_trim
+from ..session import cut_lineage
 from .quality import keep_first
 
 RAW_COLUMNS = [
@@ -79,7 +80,18 @@ def live_reviews(landed: DataFrame, app_id: str, count: int, english) -> DataFra
     newest_first = F.coalesce(-F.unix_micros(F.col("review_date").cast("timestamp")), F.lit((1 << 63) - 1))  # no date: last
     x = keep_first(x, ["review_id", "text"], [newest_first])
     if callable(english):
-        x = english(x).where(F.col("is_english")).drop("is_english")
-    else:
-        x = x.where(english)
-    return x
+        return english(x).where(F.col("is_english")).drop("is_english")
+    return x.where(english)
+
+
+def require_rows(df: DataFrame, what: str) -> DataFrame:
+    """V5: an error where a source is empty, raised by one task's look at a row."""
+    if df.isEmpty():
+        raise ValueError(f"{what}: no rows")
+    return df
+
+
+def collect_live(landed: DataFrame, app_id: str, count: int, english) -> DataFrame:
+    """S8 with the reference's two errors: nothing landed for the app, nothing usable in English."""
+    require_rows(landed.where(F.col("app_id") == app_id), f"reviews of {app_id}")
+    return require_rows(cut_lineage(live_reviews(landed, app_id, count, english)), f"usable English reviews of {app_id}")

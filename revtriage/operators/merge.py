@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from .. import config
 from ..functions.text import unicode_trim
-from .quality import keep_first
+from ..session import cut_lineage
+from ..sinks.versions import base_table, write_version
+from .quality import keep_first, key_digest
 
 
 def candidate_rows(stacked: DataFrame, labels=config.LABEL_NAMES, order_cols: list[str] | None = None) -> DataFrame:
@@ -29,11 +31,9 @@ def candidate_rows(stacked: DataFrame, labels=config.LABEL_NAMES, order_cols: li
 def new_pairs(base: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidate rows whose (text, label) is not in the base (base keys
     null -> '' and trimmed)."""
-    keys = base.select(
-        unicode_trim(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"),
-        unicode_trim(F.coalesce(F.col("label").cast("string"), F.lit(""))).alias("label"),
-    ).distinct()
-    return candidates.join(keys, ["text", "label"], "left_anti")
+    text = lambda c: unicode_trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    keys = base.select(text("text").alias("text"), text("label").alias("label")).select(key_digest("text", "label").alias("_key")).distinct()
+    return candidates.withColumn("_key", key_digest("text", "label")).join(keys, "_key", "left_anti").drop("_key")
 
 
 def align_to(schema: StructType, df: DataFrame, *extra: Column) -> DataFrame:
@@ -48,7 +48,8 @@ def merge_into(base: DataFrame, new_rows: DataFrame, base_order: str, new_order:
 
     ``base_order`` / ``new_order``: numeric columns giving the row order of
     each side (``new_order`` need not be a base column).  With no new rows
-    the base is returned as it is, repeated pairs included.
+    the base is returned as it is, repeated pairs included.  Both sides are read
+    more than once: write them down first.
     """
     if new_rows.isEmpty():
         return base
@@ -62,3 +63,13 @@ def merge_into(base: DataFrame, new_rows: DataFrame, base_order: str, new_order:
 def added_by_label(new_rows: DataFrame) -> DataFrame:
     """A8."""
     return new_rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merge_table(spark: SparkSession, table_dir: str, candidates: DataFrame, order: str = "review_id") -> tuple[DataFrame, DataFrame]:
+    """Merges candidates into the newest version of a base table and
+    writes the next one; another writer's commit in between is an error.
+    Returns the merged table and the rows that were new."""
+    base, number = base_table(spark, table_dir)
+    new = cut_lineage(new_pairs(base, candidates))
+    write_version(merge_into(base, new, order, order), table_dir, after=number)
+    return base_table(spark, table_dir)[0], new

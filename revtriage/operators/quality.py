@@ -2,48 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
 
-def drop_null(df: DataFrame, cols: list[str]) -> DataFrame:
-    """F1."""
-    return df.na.drop(subset=cols)
 
 
-def drop_blank(df: DataFrame, col: str) -> DataFrame:
-    """F2."""
-    return df.where(F.col(col) != "")
+def key_digest(*cols: str) -> Column:
+    """256 bits of a row's key; null and every text differ, and so do keys cut
+    at other places."""
+    parts = [F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in cols]
+    return F.sha2(F.concat(*parts).cast("binary"), 256)
 
 
-def keep_labels(df: DataFrame, labels, col: str = "label") -> DataFrame:
-    """F3 (exact membership)."""
-    return df.where(F.col(col).isin(*labels))
+def keep_first(df: DataFrame, keys: list[str], order_cols: list) -> DataFrame:
+    """One row per key, the first by ``order_cols`` (one integer column or
+    two, a total order; null last), with its other columns.  Null keys are equal to each other.
 
-
-def keep_first(df: DataFrame, keys: list[str], order_cols: list[str]) -> DataFrame:
-    """One row per key, the first by ``order_cols`` (a total order),
-    with its other columns.  Null keys are equal to each other.
-
-    A hash aggregate with map-side partial ``min``: a key holding a third of
-    all rows is collapsed before the shuffle, unlike a window per key.
-    """
-    others = [c for c in df.columns if c not in keys]
-    order = [(F.col(c) if isinstance(c, str) else c).alias(f"_o{i}") for i, c in enumerate(order_cols)]
-    packed = F.struct(*order, *[F.col(c) for c in others])
-    out = df.groupBy(*keys).agg(F.min(packed).alias("_first"))
-    return out.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in others]).select(*df.columns)
-
-
-def anti_join_keys(df: DataFrame, exclude: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``df`` whose key is not in ``exclude``.
-
-    The key side is reduced to distinct keys first; the join strategy is
-    left to the planner (AQE turns it into a broadcast when the distinct key
-    side turns out small at run time).
+    Two steps, neither of which sorts or groups on the key's text: a hash
+    aggregate finds the smallest order per 256-bit digest of the key, collapsing
+    a key that holds a third of all rows before the shuffle; then the rows meet
+    these winners on (digest, order), which spreads such a key's rows over all
+    tasks.  Rows that tie in key and order are cut to one.  ``df`` is read
+    twice: callers write down what is costly to make.
     """
-    return df.join(exclude.select(*keys).distinct(), keys, "left_anti")
+    order = [(F.col(c) if isinstance(c, str) else c).cast("long") for c in order_cols]
+    if len(order) == 1:
+        place = F.coalesce(order[0], F.lit((1 << 63) - 1))
+    else:  # a rank below 10 ** 17 in size, then the order within it
+        rank, within = order
+        place = rank.cast("decimal(18,0)") * F.lit(str(10**20)).cast("decimal(21,0)") + F.coalesce(within, F.lit((1 << 63) - 1)).cast("decimal(19,0)")
+        place = place.cast("decimal(38,0)")
+    x = df.withColumns({"_key": key_digest(*keys), "_place": place})
+    winners = x.select("_key", "_place").groupBy("_key").agg(F.min("_place").alias("_place"))
+    found = x.join(winners, ["_key", "_place"], "left_semi")
+    ties = Window.partitionBy("_key", "_place").orderBy(F.lit(0))
+    return found.withColumn("_tie", F.row_number().over(ties)).where("_tie = 1").select(*df.columns)
 
 
 def mark_keys(df: DataFrame, exclude: DataFrame, keys: list[str], flag: str = "_hit") -> DataFrame:

@@ -98,9 +98,14 @@ def stratified_split(
 def validate_split_size(n_rows: int, test_rows: int) -> None:
     """V4: more rows than the requested test size."""
     if n_rows <= test_rows:
-        raise ValueError(
-            f"Source dataset is too small for the requested split sizes. Need more than {test_rows} rows."
-        )
+        raise ValueError(f"{n_rows} rows are too few for {test_rows} test rows")
+
+
+def checked_split(df: DataFrame, test_fraction: float, label_col: str, key_cols: list[str], seed: int = config.RANDOM_SEED) -> DataFrame:
+    """The split, refused where it would leave no training rows."""
+    n = df.count()
+    validate_split_size(n, ceil_fraction(n, test_fraction))
+    return stratified_split(df, test_fraction, label_col, key_cols, seed)
 
 
 def stratified_folds(

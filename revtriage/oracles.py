@@ -209,6 +209,14 @@ def label_map_text(labels, counts_cte: str, value: str = "n") -> str:
     return parts
 
 
+def landed_sql() -> str:
+    """Landed reviews with their dates."""
+    return (
+        f"(SELECT r.review_id, r.text, r.app_id, r.rating, CAST(e.ts AS TIMESTAMP) AS review_date, "
+        f"CAST(r.review_id % 7 AS INTEGER) AS thumbs_up_count, r.lang FROM {REVIEWS} r LEFT JOIN events e ON r.review_id = e.event_id)"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     L = S.TEST_RULES
     rules_rev = relabel_sql(f"(SELECT review_id, text FROM {REVIEWS})", "review_id")
@@ -222,10 +230,14 @@ def oracle_sql() -> dict[str, str]:
     )
     out["x7_weak_label"] = f"SELECT review_id, suggested_label, rule_score, review_status FROM ({rules_rev}) r"
     out["x7_status_counts"] = f"SELECT review_status, suggested_label, count(*) AS n FROM ({rules_rev}) r GROUP BY ALL"
+    routed = f"SELECT CASE WHEN suggested_label IS NOT NULL THEN 'relabelled' ELSE 'manual_review' END AS route, * FROM ({rules_rev}) r"
     out["k8_relabel_report"] = (
-        "SELECT CASE WHEN suggested_label IS NOT NULL THEN 'relabelled' ELSE 'manual_review' END AS route, "
-        "CASE WHEN suggested_label IS NOT NULL THEN suggested_label ELSE review_status END AS value, count(*) AS n "
-        f"FROM ({rules_rev}) r GROUP BY ALL"
+        f"WITH r AS ({routed}) SELECT route, CASE WHEN suggested_label IS NOT NULL THEN suggested_label ELSE review_status END AS value, count(*) AS n FROM r GROUP BY ALL "
+        "UNION ALL SELECT 'rows', 'read', count(*) FROM r UNION ALL SELECT 'rows', 'kept', count(*) FILTER (WHERE route = 'relabelled') FROM r"
+    )
+    out["k2_routes"] = (
+        "SELECT review_id, route, coalesce(suggested_label, '') AS label, "
+        f"CASE WHEN route = 'relabelled' THEN '{config.RULE_LABEL_METHOD}' ELSE '' END AS label_method, review_status FROM ({routed}) x"
     )
     out["p8_display_name"] = (
         f"SELECT review_id, {display_name('suggested_label', S.TEST_RULE_LABELS.display)} AS display_label FROM ({rules_rev}) r"
@@ -358,14 +370,15 @@ SELECT review_id, label, label_method FROM (
   SELECT *, row_number() OVER (PARTITION BY text, label ORDER BY src, review_id) AS rk FROM (
     SELECT review_id, text, label, label_method, 0 AS src FROM base
     UNION ALL SELECT review_id, text, label, '{config.RULE_LABEL_METHOD}', 1 FROM new) u) x WHERE rk = 1"""
+    merged = out["d4_merge"].split("\nSELECT", 1)[1]
+    out["k4_versioned_merge"] = "WITH " + split_sql() + "," + cand + f"""
+SELECT 1 AS version, review_id, label, label_method FROM base
+UNION ALL SELECT 2, review_id, label, label_method FROM (SELECT {merged}) m"""
     out["d4_merge_nothing_new"] = "WITH " + split_sql() + "," + cand + "\nSELECT review_id, label, label_method FROM base"
     out["a8_added_by_label"] = "WITH " + split_sql() + "," + cand + "\nSELECT label, count(*) AS n FROM new GROUP BY label"
 
     # -- ingest
-    landed = (
-        f"(SELECT r.review_id, r.text, r.app_id, r.rating, CAST(e.ts AS TIMESTAMP) AS review_date, "
-        f"CAST(r.review_id % 7 AS INTEGER) AS thumbs_up_count, r.lang FROM {REVIEWS} r LEFT JOIN events e ON r.review_id = e.event_id)"
-    )
+    landed = landed_sql()
     apps = "(SELECT n_name AS app_name, 'src' || CAST(n_nationkey AS VARCHAR) AS app_id FROM nation)"
     ltext = trim_u("coalesce(l.text, '')")
     raw = (
@@ -382,15 +395,11 @@ SELECT review_id, label, label_method FROM (
         f"SELECT event_id, user_id, ts FROM (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id) AS rk "
         f"FROM events) x WHERE rk <= {C.NEWEST_PER_USER}"
     )
-    out["s8_live_ingest"] = f"""
-SELECT review_id, rating, thumbs_up FROM (
-  SELECT *, row_number() OVER (PARTITION BY review_id, text ORDER BY review_date DESC) AS rk2 FROM (
-    SELECT review_id, review_date, rating, {trim_u("coalesce(text, '')")} AS text, thumbs_up_count AS thumbs_up, lang FROM (
-      SELECT *, row_number() OVER (ORDER BY review_date DESC NULLS LAST, review_id) AS rk FROM {landed} l WHERE app_id = 'src3'
-    ) a WHERE rk <= 200
-  ) b WHERE text <> ''
-) c WHERE rk2 = 1 AND lang = 'en'"""
     out["s2_csv_roundtrip"] = "SELECT doc_id, text, lang, source FROM documents"
-    out["t2_stream_dedup"] = "SELECT DISTINCT user_id, event_type, strftime(ts, '%Y-%m-%d %H') AS slot FROM events"
+    out["t2_stream_dedup"] = """
+SELECT user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM (
+  SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS before FROM events) e
+WHERE before IS NULL OR ts - before >= INTERVAL 2 DAY"""
+    out["k8_term_report"] = f"SELECT term, count(*) AS n FROM (SELECT unnest(string_split(matched_terms, ', ')) AS term FROM ({out['x10_candidates']}) c) t WHERE term <> '' GROUP BY term"
     out["s9_stack_inputs"] = "SELECT doc_id, text, lang FROM documents"
     return out

@@ -6,7 +6,7 @@ from __future__ import annotations
 from . import config
 from .config import TfidfParams
 from .models.tfidf import stop_words_of
-from .oracles import display_name, model_clean, q, trim_u, with_prefix
+from .oracles import display_name, landed_sql, model_clean, q, trim_u, with_prefix
 from .plans import modeling_catalog as MC
 from .sources import tables as S
 
@@ -286,7 +286,7 @@ ex_top AS (SELECT review_id, string_agg(term, ', ' ORDER BY rk) AS top_terms FRO
    SELECT review_id, term, row_number() OVER (PARTITION BY review_id ORDER BY round(weight, 9) DESC, term) AS rk FROM te_w) x
    WHERE rk <= 5 GROUP BY review_id)
 SELECT d.review_id, {disp('p.prediction')} AS label, {r6('p.confidence', 'confidence')}, coalesce(t.top_terms, '') AS top_terms,
-  {q(config.DEFAULT_REASON)} AS label_reason
+  CASE p.prediction {" ".join(f"WHEN {q(c)} THEN {q(r)}" for c, r in MC.LANG_REASONS.items())} ELSE {q(config.DEFAULT_REASON)} END AS label_reason
 FROM te_data d JOIN te_pred p ON d.review_id = p.review_id LEFT JOIN ex_top t ON t.review_id = d.review_id"""
     names_txt_pre = " || ',' || ".join(
         f"'{l}:' || CAST(coalesce((SELECT count(*) FROM tr_unbal WHERE label = {q(l)}), 0) AS VARCHAR)" for l in names
@@ -302,6 +302,15 @@ FROM te_data d JOIN te_pred p ON d.review_id = p.review_id LEFT JOIN ex_top t ON
 SELECT d.review_id, d.label, CASE WHEN {letters} <> '' THEN p.prediction END AS detected_lang,
   coalesce({letters} <> '' AND p.prediction = 'en', FALSE) AS is_english
 FROM te_data d JOIN l1_pred p ON d.review_id = p.review_id"""
+    live_rows = f"""(SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY review_id, text ORDER BY review_date DESC NULLS LAST) AS rk2 FROM (
+    SELECT review_id, review_date, rating, {trim_u("coalesce(text, '')")} AS text, thumbs_up_count AS thumbs_up FROM (
+      SELECT *, row_number() OVER (ORDER BY review_date DESC NULLS LAST, review_id) AS rk FROM {landed_sql()} l WHERE app_id = '{MC.S8_APP}'
+    ) a WHERE rk <= {MC.S8_COUNT}) b WHERE text <> '') c WHERE rk2 = 1)"""
+    out["s8_live_ingest"] = lang_ctes() + nb_ctes(alpha=0.5, fit_prior=False, params=PROFILE_PARAMS) + ",\nlive8 AS " + live_rows + nb_score_ctes("l8", "live8", 0.5, PROFILE_PARAMS) + f"""
+SELECT d.review_id, d.rating, d.thumbs_up FROM live8 d JOIN l8_pred p ON d.review_id = p.review_id
+WHERE {letters} <> '' AND p.prediction = 'en'"""
+    out["k7_result_export"] = f"SELECT test_row, review_id, predicted_label, confidence FROM ({out['m9b_holdout_eval']}) h"
     out["m15a_prepare_summary"] = lang_ctes() + f""",
 pre AS (SELECT count(*) AS o, count(*) FILTER (WHERE label_raw IS NOT NULL AND text_raw IS NOT NULL) AS a,
    count(*) FILTER (WHERE label_raw IS NOT NULL AND text_raw IS NOT NULL AND label IS NOT NULL) AS b,

@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
+from ..sinks.versions import base_table, write_version
+from ..sources.files import app_targets
 from ..functions import text as T
 from ..operators import aggregate as A
 from ..operators import ingest as ING
@@ -23,7 +25,7 @@ from ..operators import merge as MRG
 from ..operators import report as RPT
 from ..operators.quality import keep_first, validation_table
 from ..operators.rank import global_row_number
-from ..operators.sampling import balance_classes, split_quotas, stratified_folds, stratified_split
+from ..operators.sampling import checked_split, split_quotas, stratified_folds
 from ..sources import tables as S
 from .dataset import load_labelled_dataset
 
@@ -121,7 +123,7 @@ def class_master(spark, d) -> DataFrame:
 
 
 def class_split(spark, d) -> DataFrame:
-    return stratified_split(class_master(spark, d), SPLIT_TEST_FRACTION, "label", ["review_id"], SEED)
+    return checked_split(class_master(spark, d), SPLIT_TEST_FRACTION, "label", ["review_id"], SEED)
 
 
 def training_dataset(spark, d, balance: bool):
@@ -241,25 +243,51 @@ def rule_base(spark, d) -> DataFrame:
     return r.select("review_id", "text", "label", "label_method")
 
 
+def merge_sides(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Base and candidates, each written once."""
+    return cut_lineage(rule_base(spark, d)), cut_lineage(relabelled_candidates(spark, d))
+
+
 def q_j2_new_pairs(spark, d):
-    new = MRG.new_pairs(rule_base(spark, d), relabelled_candidates(spark, d))
-    return new.select("review_id", "label")
+    base, candidates = merge_sides(spark, d)
+    return MRG.new_pairs(base, candidates).select("review_id", "label")
 
 
 def q_d4_merge(spark, d):
-    base = rule_base(spark, d)
-    new = MRG.new_pairs(base, relabelled_candidates(spark, d))
-    merged = MRG.merge_into(base, new, "review_id", "review_id")
-    return merged.select("review_id", "label", "label_method")
+    base, candidates = merge_sides(spark, d)
+    new = cut_lineage(MRG.new_pairs(base, candidates))
+    return MRG.merge_into(base, new, "review_id", "review_id").select("review_id", "label", "label_method")
 
 
 def q_d4_merge_nothing_new(spark, d):
     """The base merged with its own rows: nothing is new, the base stays as it is, repeated pairs included."""
-    base = rule_base(spark, d)
+    base = cut_lineage(rule_base(spark, d))
     merged = MRG.merge_into(base, MRG.new_pairs(base, base), "review_id", "review_id")
     return merged.select("review_id", "label", "label_method")
 
 
+def q_k4_versioned_merge(spark, d):
+    """The base written as version 1 of a table, the candidates merged into it as version 2; both read back."""
+    base, candidates = merge_sides(spark, d)
+    path = scratch_path(spark, "training-table")
+    write_version(base, path)
+    MRG.merge_table(spark, path, candidates)
+    parts = [base_table(spark, path, n)[0].select(F.lit(n).alias("version"), "review_id", "label", "label_method") for n in (1, 2)]
+    return parts[0].unionByName(parts[1])
+
+
+def q_k2_routes(spark, d):
+    """The weak labels written as two folders and read back."""
+    path = scratch_path(spark, "routes")
+    LAB.write_routes(LAB.relabel(S.reviews(spark, d).select("review_id", "text"), S.TEST_RULES), path)
+    return spark.read.parquet(path).select("review_id", "route", "label", "label_method", "review_status")
+
+
+def q_k8_term_report(spark, d):
+    rev = S.reviews(spark, d).select("review_id", "text", "rating")
+    return LAB.term_report(LAB.security_candidates(rev, S.TEST_CANDIDATE_VOCAB, id_col="review_id"))
+
+
 def q_s9_stack_inputs(spark, d):
     """``documents`` landed as CSV files with two orders of headings, stacked by name."""
     from ..sources.files import read_csv_any_encoding
@@ -275,9 +303,8 @@ def q_s9_stack_inputs(spark, d):
 
 
 def q_a8_added_by_label(spark, d):
-    base = rule_base(spark, d)
-    new = MRG.new_pairs(base, relabelled_candidates(spark, d))
-    return MRG.added_by_label(new)
+    base, candidates = merge_sides(spark, d)
+    return MRG.added_by_label(MRG.new_pairs(base, candidates))
 
 
 def landed_reviews(spark, d) -> DataFrame:
@@ -293,18 +320,20 @@ def landed_reviews(spark, d) -> DataFrame:
 
 
 def app_dimension(spark, d) -> DataFrame:
-    """App targets from ``nation``: app_id = 'src' || nationkey."""
+    """App targets from ``nation``: app_id = 'src' || nationkey; a later target of each id must not win."""
     n = S.table(spark, d, "nation")
-    return n.select(F.col("n_name").alias("app_name"), F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("app_id"))
+    first = n.select(F.col("n_name").alias("app_name"), F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("app_id"), F.col("n_nationkey").cast("long").alias("place"))
+    again = first.select(F.lit(" A later name").alias("app_name"), "app_id", (F.col("place") + 1000).alias("place"))
+    return app_targets(spark, df=first.unionByName(again), order_col="place")
 
 
 def q_s6_raw_reviews(spark, d):
-    raw = ING.raw_reviews(landed_reviews(spark, d), app_dimension(spark, d))
+    raw = ING.raw_reviews(landed_reviews(spark, d), app_dimension(spark, d), target_order="place")
     return raw.select("review_id", "app_name", "app_id", "store_source", "rating")
 
 
 def q_p4_label_ready(spark, d):
-    raw = ING.raw_reviews(landed_reviews(spark, d), app_dimension(spark, d))
+    raw = ING.raw_reviews(landed_reviews(spark, d), app_dimension(spark, d), target_order="place")
     return ING.label_ready(raw).drop("text", "review_date")
 
 
@@ -313,11 +342,6 @@ def q_s7_newest_per_user(spark, d):
     return ING.newest_per_app(ev, NEWEST_PER_USER, key="user_id", date_col="ts", id_col="event_id")
 
 
-def q_s8_live_ingest(spark, d):
-    x = ING.live_reviews(landed_reviews(spark, d), "src3", 200, F.col("lang") == "en")
-    return x.select("review_id", "rating", "thumbs_up")
-
-
 def q_s2_csv_roundtrip(spark, d):
     """``documents`` landed as quoted multi-line CSV in two
     encodings (rows whose text is Latin-1 encodable and not English in
@@ -370,10 +394,12 @@ def registry() -> dict:
         "a1_count_by_app": q_a1_count_by_app,
         "j2_new_pairs": q_j2_new_pairs,
         "d4_merge": q_d4_merge,
+        "k4_versioned_merge": q_k4_versioned_merge,
+        "k2_routes": q_k2_routes,
+        "k8_term_report": q_k8_term_report,
         "a8_added_by_label": q_a8_added_by_label,
         "s6_raw_reviews": q_s6_raw_reviews,
         "p4_label_ready": q_p4_label_ready,
         "s7_newest_per_user": q_s7_newest_per_user,
-        "s8_live_ingest": q_s8_live_ingest,
         "s2_csv_roundtrip": q_s2_csv_roundtrip,
     }

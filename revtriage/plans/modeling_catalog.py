@@ -18,12 +18,14 @@ from ..functions import text as T
 from ..models import naive_bayes as NB
 from ..models import tfidf as TF
 from ..operators import aggregate as A
+from ..operators import ingest as ING
 from ..operators import metrics as M
 from ..operators import report as RPT
 from ..operators.rank import global_row_number
 from ..operators.sampling import stratified_split
 from ..sources import tables as S
 from ..sources.files import uploaded_reviews
+from . import catalog
 from . import scoring as SC
 from .dataset import load_labelled_dataset
 
@@ -193,7 +195,7 @@ def q_a5_triage_summary(spark, d):
 
 def q_m10_explain(spark, d):
     model, _, test = nb_model(spark, d)
-    e = SC.explain(test.data, "review_id", model, TOP_TERMS, S.LANG_LABELS.display, {})
+    e = SC.explain(test.data, "review_id", model, TOP_TERMS, S.LANG_LABELS.display, LANG_REASONS)
     return e.select(
         "review_id", "label", r6("confidence"), F.array_join(F.col("top_terms.term"), ", ").alias("top_terms"), "label_reason"
     )
@@ -210,6 +212,37 @@ def q_l1_language_predict(spark, d):
     return out.select("review_id", "label", "detected_lang", "is_english")
 
 
+S8_APP, S8_COUNT = "src3", 200
+
+
+def q_s8_live_ingest(spark, d):
+    """S8 with L1: the newest reviews of an app that the language profile finds English."""
+    from ..models import language as LANG
+
+    train, _ = lang_datasets(spark, d)
+    landed = catalog.landed_reviews(spark, d)
+    x = ING.collect_live(landed, S8_APP, S8_COUNT, LANG.english_filter(LANG.fit_profile(train.data)))
+    return x.select("review_id", "rating", "thumbs_up")
+
+
+def q_k7_result_export(spark, d):
+    """K7: the held-out results exported as CSV, raw numbers, and read back."""
+    from ..session import scratch_path
+    from ..sinks.writers import write_csv
+    from ..sources.files import read_csv
+
+    model, _, test = nb_model(spark, d)
+    rows, _ = SC.evaluate_holdout(test.data, nb_scorer(model), S.LANG_LABELS.display, "review_id")
+    path = scratch_path(spark, "results")
+    write_csv(rows.select("test_row", "review_id", "text", "predicted_label", r6("confidence")), path)
+    back = read_csv(spark, path)
+    return back.select(F.col("test_row").cast("long").alias("test_row"), F.col("review_id").cast("long").alias("review_id"), "predicted_label", F.col("confidence").cast("double").alias("confidence"))
+
+
+#: Fixed texts for X12: a reason for three of the four classes, the default for the other.
+LANG_REASONS = {c: f"The strongest terms are words that texts in {n} use." for c, n in S.LANG_LABELS.display.items() if c != "es"}
+
+
 def q_m15a_prepare_summary(spark, d):
     """Held-out first, training decontaminated by it, balanced."""
     train, test = lang_datasets(spark, d)
@@ -234,6 +267,8 @@ def registry() -> dict:
         "m9c_upload_scoring": q_m9c_upload_scoring,
         "m9c_label_counts": q_m9c_label_counts,
         "m9a_triage": q_m9a_triage,
+        "s8_live_ingest": q_s8_live_ingest,
+        "k7_result_export": q_k7_result_export,
         "a5_triage_summary": q_a5_triage_summary,
         "m10_explain": q_m10_explain,
         "m15a_prepare_summary": q_m15a_prepare_summary,

@@ -1,4 +1,4 @@
-"""Sinks (K1-K5, K7).
+"""Sinks (K1-K3, K5, K7).
 
 Every writer is a distributed write of part files; nothing is gathered on
 the driver except the few summary rows of K5.
@@ -6,11 +6,7 @@ the driver except the few summary rows of K5.
 
 from __future__ import annotations
 
-import os
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..operators.aggregate import split_summary
 
@@ -33,30 +29,6 @@ def write_split(split: DataFrame, path: str, fmt: str = "parquet", role_col: str
     split.sortWithinPartitions(role_col, order_col).write.mode("overwrite").partitionBy(role_col).format(fmt).save(path)
 
 
-POINTERS = "pointers"
-
-
-def write_version(df: DataFrame, table_dir: str, fmt: str = "parquet") -> str:
-    """K4: update a table that the same job reads.
-
-    Spark cannot overwrite a path it is reading; each write goes to a new
-    version folder and a pointer written after it names it, so readers see
-    the old version until the new one is complete.  The pointer is a one-row
-    table, so any store that Spark writes to will do; the newest one counts."""
-    version = f"v-{uuid.uuid4().hex[:12]}"
-    target = os.path.join(table_dir, version)
-    df.write.mode("errorifexists").format(fmt).save(target)
-    spark = df.sparkSession
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.parquet(f"{table_dir}/{POINTERS}/{version}")
-    return target
-
-
-def read_version(spark: SparkSession, table_dir: str, fmt: str = "parquet") -> DataFrame:
-    pointers = spark.read.option("recursiveFileLookup", "true").parquet(f"{table_dir}/{POINTERS}")
-    version = pointers.select(F.max_by("version", F.struct("_metadata.file_modification_time", "version"))).first()[0]
-    return spark.read.format(fmt).load(os.path.join(table_dir, version))
-
-
 def split_summary_markdown(split: DataFrame, source_name: str, label_col: str = "label", role_col: str = "dataset_role",
                            train_role: str = "training", test_role: str = "testing_manual") -> str:
     """K5: the A7 rollup (a row per role and label, and their totals) as a

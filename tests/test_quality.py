@@ -87,7 +87,7 @@ def test_triage_scores_only_complaints(spark):
 
 
 def test_sinks_roundtrip(spark, tmp_path):
-    from revtriage.sinks.writers import read_version, split_summary_markdown, write_csv, write_split, write_version
+    from revtriage.sinks.writers import split_summary_markdown, write_csv, write_split
     from revtriage.sources.files import read_csv
 
     df = spark.createDataFrame([(1, 'a "quoted"\nline', "x"), (2, "b", "y")], "review_id int, text string, label string")
@@ -97,10 +97,6 @@ def test_sinks_roundtrip(spark, tmp_path):
     split = df.withColumn("dataset_role", F.when(F.col("review_id") == 1, "training").otherwise("testing_manual"))
     write_split(split, str(tmp_path / "split"))
     assert spark.read.parquet(str(tmp_path / "split")).count() == 2
-    write_version(df, str(tmp_path / "tbl"))
-    cur = read_version(spark, str(tmp_path / "tbl"))
-    write_version(cur.where("review_id = 1"), str(tmp_path / "tbl"))
-    assert read_version(spark, str(tmp_path / "tbl")).count() == 1
     md = split_summary_markdown(split, "master.csv")
     assert "2 rows" in md and "| `y` | 0 | 1 |" in md and "| all | 1 | 1 |" in md
 
@@ -146,3 +142,119 @@ def test_whole_texts_are_loaded(spark):
     rows = [("a", long + "one"), ("a", long + "two")] + [("a", f"row {i}") for i in range(30)]
     out = load_labelled_dataset(spark.createDataFrame(rows, "label string, text string"), labels, apply_balancing=False)
     assert out.summary["final_rows"] == 32
+
+
+def test_keep_first_against_plain_python(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice([None, "", "a", "b", "1:a"]), rng.choice([None, "x", "a", ""]), rng.choice([None, *range(4)]), f"v{i}") for i in range(300)]
+    rows += [(0, "a", "x", None, "v0"), rows[5]]
+    df = spark.createDataFrame(rows, "o int, k1 string, k2 string, rank int, v string").repartition(5)
+    best = {}
+    for o, a, b, rank, v in rows:
+        best[a, b] = min(best.get((a, b), (o, v)), (o, v))
+    got = {(r.k1, r.k2): (r.o, r.v) for r in keep_first(df, ["k1", "k2"], ["o"]).collect()}
+    assert got == best and keep_first(df, ["k1", "k2"], ["o"]).count() == len(best)
+    best = {}
+    for o, a, b, rank, v in rows:
+        if rank is not None:
+            best[a, b] = min(best.get((a, b), (rank, o)), (rank, o))
+    got = {(r.k1, r.k2): (r.rank, r.o) for r in keep_first(df.where("rank IS NOT NULL"), ["k1", "k2"], ["rank", "o"]).collect()}
+    assert got == best
+
+
+def test_first_row_dedup_sorts_no_text(spark):
+    df = spark.createDataFrame([(1, "x", "l")], "review_id long, text string, label string")
+    plan = keep_first(df, ["text", "label"], ["review_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "hashpartitioning(text" not in plan
+
+
+def test_versions_are_numbered_commits(spark, tmp_path):
+    """The largest number counts, whatever the files' times; an unfinished entry is no version; a late writer is told."""
+    import os
+
+    import pytest
+
+    from revtriage.sinks.versions import VersionConflict, base_table, versions, write_version
+
+    path = str(tmp_path / "tbl")
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "review_id long, text string")
+    with pytest.raises(FileNotFoundError):
+        base_table(spark, path)
+    for n in range(5):
+        assert write_version(df.where(f"review_id > {n % 2}"), path, after=n) == n + 1
+    for folder, _, names in os.walk(path):
+        for name in names:
+            os.utime(os.path.join(folder, name), (1, 1))
+    os.utime(f"{path}/_log/{1:020d}")  # the oldest version has the newest time
+    table, number = base_table(spark, path)
+    assert number == 5 and table.count() == 2 and base_table(spark, path, 2)[0].count() == 1
+    with pytest.raises(VersionConflict):
+        write_version(df, path, after=4)
+    open(f"{path}/_log/{6:020d}", "w").close()
+    assert max(versions(spark, path)) == 5
+    with pytest.raises(FileNotFoundError):
+        base_table(spark, path, 6)
+
+
+def test_merge_into_a_versioned_table(spark, tmp_path):
+    from revtriage.operators.merge import merge_table
+    from revtriage.sinks.versions import base_table, write_version
+
+    path = str(tmp_path / "tbl")
+    write_version(spark.createDataFrame([(1, "x", "l"), (2, "x", "l")], "review_id long, text string, label string"), path)
+    merged, new = merge_table(spark, path, spark.createDataFrame([(9, "y", "l"), (8, " x ", "l")], "review_id long, text string, label string"))
+    assert sorted(r.review_id for r in merged.collect()) == [1, 8, 9] or sorted(r.review_id for r in merged.collect()) == [1, 9]
+    assert base_table(spark, path)[1] == 2 and new.count() in (1, 2)
+
+
+def test_empty_sources_are_errors(spark, tmp_path):
+    import pytest
+
+    from revtriage.operators.ingest import collect_live
+    from revtriage.operators.sampling import checked_split
+    from revtriage.sources.files import app_targets, read_uploaded_file
+
+    landed = spark.createDataFrame([(1, None, 2, "bonjour", 0, "a")], "review_id int, review_date timestamp, rating int, text string, thumbs_up_count int, app_id string")
+    with pytest.raises(ValueError, match="reviews of b: no rows"):
+        collect_live(landed, "b", 5, F.lit(True))
+    with pytest.raises(ValueError, match="usable English"):
+        collect_live(landed, "a", 5, F.lit(False))
+    assert collect_live(landed, "a", 5, F.lit(True)).count() == 1
+    with pytest.raises(ValueError, match="lack app_id"):
+        app_targets(spark, df=spark.createDataFrame([("x",)], "app_name string"))
+    with pytest.raises(ValueError, match="no row has both"):
+        app_targets(spark, df=spark.createDataFrame([("x", " "), (None, "y")], "app_name string, app_id string"))
+    assert app_targets(spark).count() == 4
+    (tmp_path / "empty.csv").write_text("text\n")
+    (tmp_path / "marks.csv").write_text("text\n!!!\n")
+    with pytest.raises(ValueError, match="holds no rows"):
+        read_uploaded_file(spark, str(tmp_path / "empty.csv"))
+    with pytest.raises(ValueError, match="no review text"):
+        read_uploaded_file(spark, str(tmp_path / "marks.csv"))
+    one = spark.createDataFrame([(1, "a")], "review_id int, label string")
+    with pytest.raises(ValueError, match="too few"):
+        checked_split(one, 0.9, "label", ["review_id"])
+
+
+def test_training_modes_have_names():
+    import pytest
+
+    from revtriage.functions.text import balance_mode, is_balanced
+
+    assert is_balanced(balance_mode(True)) and not is_balanced(balance_mode(False))
+    with pytest.raises(ValueError):
+        is_balanced("half")
+
+
+def test_language_filter_on_the_reference_s_case(spark):
+    from revtriage.models import language as LANG
+
+    english = ["The payment has failed and the money is gone", "I have been waiting for two days", "Please add the option to transfer", "The app is slow but the support was good"]
+    malay = ["Pembayaran saya gagal dan wang saya hilang", "Saya masih menunggu sudah dua hari", "Tolong tambah pilihan pemindahan", "Aplikasi ini masih perlahan tetapi bagus"]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([(t, "en") for t in english] + [(t, "ms") for t in malay])]
+    profile = LANG.fit_profile(spark.createDataFrame(rows, "review_id long, text string, label string"))
+    asked = spark.createDataFrame([(1, "The transfer has been pending for two days."), (2, "Pemindahan saya masih tertangguh."), (3, "123 !")], "review_id long, text string")
+    got = {r.review_id: r.is_english for r in LANG.english_filter(profile)(asked).collect()}
+    assert got == {1: True, 2: False, 3: False}

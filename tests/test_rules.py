@@ -42,3 +42,27 @@ def test_candidate_top_k_order(spark):
     df = spark.createDataFrame(rows, "id int, text string, rating int")
     got = [r.id for r in security_candidates(df, min_score=1, max_rating=5, top=3, id_col="id").collect()]
     assert got == [2, 4, 3]
+
+
+def test_scores_against_plain_python(spark):
+    """Overlapping and repeated phrases, phrases inside words, every label of the default rules."""
+    import random
+
+    from revtriage.functions.rules import score_rows, vocabulary_rows
+    from revtriage.functions.text import rule_clean, token_set
+
+    rng = random.Random(2)
+    rules = config.DEFAULT_RULESET
+    entries = [e for r in rules.rules for e in (*r.phrases, *r.tokens, *r.exclude_phrases)] + list(rules.positive_phrases)
+    texts = [" ".join(rng.sample(entries, rng.randrange(0, 9))) for _ in range(150)] + ["paypay bills payment unsuccessfully", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    x = score_rows(df.withColumns({"n": rule_clean("text")}).withColumn("w", token_set("n")), rules).collect()
+    for r in x:
+        found = {rule.label: rules.phrase_weight * sum(p in r.n for p in rule.phrases) + rules.token_weight * len(set(r.w) & set(rule.tokens)) for rule in rules.rules}
+        assert r.rule_score == max(found.values()), r.text
+    v = config.DEFAULT_SECURITY_VOCABULARY
+    y = vocabulary_rows(df.withColumns({"n": rule_clean("text")}).withColumn("w", token_set("n")), v).collect()
+    for r in y:
+        terms = sorted({p for p in v.phrases if p in r.n} | set(r.w) & set(v.tokens))
+        assert r.matched_terms == terms
+        assert r.score == v.phrase_weight * sum(p in r.n for p in v.phrases) + v.token_weight * len(set(r.w) & set(v.tokens))
