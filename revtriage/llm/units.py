@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A space before white space or the end: such texts take the pattern below.
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
@@ -32,6 +33,7 @@ _RUN_START = re.compile(r"(?<=[^ ▁])(?= )")
 
 SPACE_MARK = "▁"
 _MARKS = frozenset(".,;:!?")
+_MARK_LAST = "[.,;:!?]$"
 
 
 def word_units(text: str) -> list[str]:
@@ -55,6 +57,27 @@ class Memo:
     def __init__(self, ask: Callable[[list[str]], Iterable], cap: int = 300_000):
         self.ask, self.cap, self.new, self.old = ask, cap, {}, {}
 
+    def answers(self, units: list[str]) -> list:
+        """The answer of each unit; units should be distinct."""
+        if len(self.new) > self.cap:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        out = list(map(new.get, units))
+        missing = [i for i, a in enumerate(out) if a is None]
+        unknown = []
+        for i in missing:
+            u = units[i]
+            seen = old.get(u)
+            if seen is None:
+                unknown.append(u)
+            else:
+                new[u] = seen
+        if unknown:
+            new.update(zip(unknown, self.ask(unknown), strict=True))
+        for i in missing:
+            out[i] = new[units[i]]
+        return out
+
     def learn(self, units: set[str]) -> dict:
         """A dict that holds at least ``units``."""
         if len(self.new) > self.cap:
@@ -97,6 +120,8 @@ def file_of(name: str) -> str:
 
 #: Letters below this one are unchanged by NFC and lower-cased one by one.
 _LAST_PLAIN = "\u0130"
+#: Letters below it, and maybe a punctuation mark.
+_PLAIN_WORD = "^[A-Za-zªµºÀ-ÖØ-öø-į]+[.,;:!?]?$"
 
 
 def byte_alphabet() -> dict[int, int]:
@@ -129,11 +154,14 @@ class HubTokenizer:
         normalised, one match of the pattern and has no added token."""
         out: list = [None] * len(texts)
         whole = []
-        tokenize, alphabet = self.lib.model.tokenize, self.alphabet
+        tokenize, alphabet, folds, space = self.lib.model.tokenize, self.alphabet, self.folds, chr(self.alphabet[0x20])
         for i, text in enumerate(texts):
-            word = text[1:] if text[:1] == " " else text
-            if word.isalpha() and max(word) < _LAST_PLAIN and not (self.folds and word != word.lower()):
-                symbols = (word if self.folds else text).encode().decode("latin-1").translate(alphabet)
+            lead = text[:1] == " "
+            word = text[1:] if lead else text
+            if word.isalpha() and (word.isascii() or max(word) < _LAST_PLAIN) and not (folds and word != word.lower()):
+                symbols = word if folds else space + word if lead else word
+                if not word.isascii():
+                    symbols = (word if folds else text).encode().decode("latin-1").translate(alphabet)
                 out[i] = array("I", [t.id for t in tokenize(symbols)]).tobytes()
             else:
                 whole.append(i)
@@ -152,44 +180,82 @@ class HubTokenizer:
         its own too; a tokenizer that lower-cases gives an ASCII word and its
         lower case the same ids.
         """
-        parts, folds = [], self.folds
-        for u in units:
-            lines = u.split("\n") if "\n" in u and _LINE_BREAK.fullmatch(u) else (u,)
-            of_unit, start = [], lead
-            for k, line in enumerate(lines):
-                if k:
-                    of_unit.append("\n")
-                    start = ""
-                if line[-1:] in _MARKS and line[:-1].isalpha() and max(line) < _LAST_PLAIN:
-                    of_unit += [start + (line[:-1].lower() if folds and line.isascii() else line[:-1]), line[-1]]
-                else:
-                    of_unit.append(start + (line.lower() if folds and line.isascii() else line))
-            parts.append(of_unit)
-        known = self.words.learn({w for of_unit in parts for w in of_unit})
-        return [b"".join([known[w] for w in of_unit]) for of_unit in parts]
+        column = pa.array(units, pa.string())
+        plain = pc.match_substring_regex(column, _PLAIN_WORD)
+        marked = pc.and_(plain, pc.match_substring_regex(column, _MARK_LAST))
+        word = pc.if_else(marked, pc.utf8_slice_codeunits(column, 0, -1), column)
+        if self.folds:
+            word = pc.if_else(pc.and_(plain, pc.string_is_ascii(word)), pc.ascii_lower(word), word)
+        words, plain, marked = (c.to_numpy(zero_copy_only=False).tolist() for c in (word, plain, marked))
+        others = {i: self._parts(lead, units[i]) for i, simple in enumerate(plain) if not simple}
+        asked = list({lead + w for w, simple in zip(words, plain, strict=True) if simple}.union(_MARKS, *others.values()))
+        known = dict(zip(asked, self.words.answers(asked), strict=True))
+        out = [known[lead + w] + known[u[-1]] if m else known[lead + w] if simple else b"" for u, w, simple, m in zip(units, words, plain, marked, strict=True)]
+        for i, parts in others.items():
+            out[i] = b"".join([known[w] for w in parts])
+        return out
+
+    def _parts(self, lead: str, unit: str) -> list[str]:
+        """What a unit that is no plain word is asked as."""
+        lines = unit.split("\n") if "\n" in unit and _LINE_BREAK.fullmatch(unit) else (unit,)
+        parts = []
+        for k, line in enumerate(lines):
+            if k:
+                parts.append("\n")
+                lead = ""
+            if line[-1:] in _MARKS and line[:-1].isalpha() and max(line) < _LAST_PLAIN:
+                parts += [lead + (line[:-1].lower() if self.folds and line.isascii() else line[:-1]), line[-1]]
+            else:
+                parts.append(lead + (line.lower() if self.folds and line.isascii() else line))
+        return parts
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text; null counts as empty."""
-        cut: list[list[str] | None] = []
-        firsts, rests = set(), set()
-        for text in texts:
-            if not text or any(a in text for a in self.added):  # added tokens are looked for across units
-                cut.append(None)
-                continue
-            # All white space is one space to a tokenizer that drops it.
-            units = word_units(text.replace("\n", " ") if self.folds else text)
-            firsts.add(units[0])
-            rests.update(units[1:])
-            cut.append(units)
-        first, rest = self.first.learn(firsts), self.rest.learn(rests)
-        out = []
-        for text, units in zip(texts, cut, strict=True):
-            if units is None:
-                out.append(self._ask([text])[0] if text else b"")
-            else:
-                out.append(first[units[0]] + b"".join(map(rest.__getitem__, units[1:])))
+        out: list = [b""] * len(texts)
+        straight, odd, alone = [], [], []
+        for i, text in enumerate(texts):
+            if text:
+                if any(a in text for a in self.added):  # added tokens are looked for across units
+                    alone.append(i)
+                else:
+                    (odd if _ODD_SPACE.search(text.replace("\n", " ") if self.folds else text) else straight).append(i)
+        for i in alone:
+            out[i] = self._ask([texts[i]])[0]
+        # All white space is one space to a tokenizer that drops it.
+        spaced = (lambda i: texts[i].replace("\n", " ")) if self.folds else texts.__getitem__
+        if straight:
+            self._glue(straight, pc.split_pattern(pa.array(map(spaced, straight), pa.string()), " "), out)
+        if odd:
+            self._glue(odd, pa.array([word_units(spaced(i)) for i in odd], pa.list_(pa.string())), out)
         return out
 
+    def _glue(self, places: list[int], cut: pa.ListArray, out: list[bytes]) -> None:
+        """Sets the ids of texts from their units; each distinct unit is looked up once."""
+        offsets = cut.offsets.to_numpy().astype(np.int64)
+        units = cut.values.slice(offsets[0], offsets[-1] - offsets[0])
+        offsets -= offsets[0]
+        coded = units.dictionary_encode()
+        firsts = units.take(pa.array(offsets[:-1])).to_pylist()
+        rest = coded.indices.to_numpy().astype(np.int64)
+        is_rest = np.ones(len(rest), bool)
+        is_rest[offsets[:-1]] = False
+        used = np.zeros(len(coded.dictionary), bool)
+        used[rest[is_rest]] = True
+        words = coded.dictionary.filter(pa.array(used)).to_numpy(zero_copy_only=False).tolist()
+        rest = (np.cumsum(used) - 1)[rest]
+        blobs = self.rest.answers(words)
+        first = self.first.learn(set(firsts))
+        blobs += [first[w] for w in firsts]
+        rest[~is_rest] = len(words) + np.arange(len(firsts))
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        data, start = np.frombuffer(b"".join(blobs), "<u4"), np.cumsum(size) - size
+        n = size[rest]
+        ends = np.r_[0, np.cumsum(n)]
+        ids = data[np.repeat(start[rest] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        edges = (4 * ends[offsets]).tolist()
+        for i, a, b in zip(places, edges[:-1], edges[1:], strict=True):
+            out[i] = ids[a:b]
+
 
 @lru_cache(maxsize=4)
 def hub_tokenizer(name: str) -> HubTokenizer:
