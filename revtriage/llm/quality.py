@@ -19,7 +19,8 @@ two different windows of a text of n words share one with probability below
 n * n / 2**65.
 
 Defined results: null and blank texts have no words and fail the base rules;
-a null id is kept as it is; repeated rows each get their row; an empty table
+an id of any type is kept as it is, null too (a struct of all columns as id
+brings whole rows through without a join); repeated rows each get their row; an empty table
 gives an empty result; other columns are ignored, whatever their names.
 """
 
@@ -57,7 +58,8 @@ RULES = (
     Rule("repeats", "100 * n_repeat_words > 20 * n_words", "n_repeat_words = 0"),
     Rule("lines", "100 * n_dup_lines > 30 * n_lines", "n_dup_lines = 0"),
     Rule("word_length", "word_chars < 3 * n_words OR word_chars > 12 * n_words", "word_chars BETWEEN 4 * n_words AND 10 * n_words"),
-    Rule("variety", "100 * n_distinct < 25 * n_words AND n_words <= 1000", "100 * n_distinct >= 45 * n_words"),
+    # A longer text repeats more of its words: from 1,000 words on, where both bounds meet, the square root decides.
+    Rule("variety", "100 * n_distinct < 25 * n_words AND 2 * n_distinct * n_distinct < 125 * n_words", "100 * n_distinct >= 45 * n_words"),
     Rule("capitals", "100 * n_capitals > 40 * word_chars", "100 * n_capitals <= 15 * word_chars"),
     Rule("length", "n_words < 10", "n_words >= 30"),
 )
@@ -179,7 +181,7 @@ def fit_rules(rows: DataFrame, iterations: int = ITERATIONS) -> Fit:
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", iterations: int = ITERATIONS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: id, the features, base_failed, p_good, kept."""
-    rows = materialise(features(docs, id_col, text_col).withColumn("_votes", votes()), "quality")
+    rows = materialise(features(docs, id_col, text_col).withColumn("_votes", votes()), "quality", compression="zstd")
     fit = fit_rules(rows, iterations)
     failed = F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PCT} * n_words")
     out = with_posterior(rows, fit).select(
