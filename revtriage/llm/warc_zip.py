@@ -9,18 +9,20 @@ and reads the index and single records by their byte ranges.
 
 Duplicates: of records with equal payloads of at least ``MIN_PAYLOAD`` bytes the
 one with the largest id is the response, the others are revisits of it, without
-a payload of their own.  Equal payloads are found by (SHA-256, length), grouped
-with partial aggregation and joined back by a sort-merge join that adaptive
-execution splits when one payload holds a third of all rows; the payloads
-themselves are shuffled once, by id.
+a payload of their own.  Rows are numbered and written down; equal payloads are
+found by (SHA-256, length), grouped with partial aggregation that also picks the
+one response by (id, number), and joined back by a sort-merge join of narrow
+rows that adaptive execution splits when one payload holds a third of them; the
+payloads themselves are shuffled once, by number.
 
 Memory: a task holds one package (``PACKAGE_BYTES``, or one longer record) when
 it writes and one record when it reads.
 
 Defined results: a null payload is empty; a null URL is left out of its record;
-a null id is written as an empty record name and read back as null; of repeated
-rows with one id and payload each gets a record, all revisits of that id but
-for one; an empty table writes no package and reads back empty; other columns
+a null id is written as an empty record name and read back as null, and is
+smaller than any other; of repeated rows with one id and payload each gets a
+record, and of equal payloads all are revisits but for one row of the largest
+id (of null, if all ids are null), in whatever partitions they are; an empty table writes no package and reads back empty; other columns
 are ignored, whatever their names.
 """
 
@@ -185,24 +187,26 @@ def _name(urn: str | None) -> str | None:
 
 
 def with_responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_payload: int = MIN_PAYLOAD) -> DataFrame:
-    """_id, _url, _payload (binary), _refers: the response's id for revisits, else null."""
+    """_id, _url, _payload (binary), _revisit, _refers (the response's id for revisits, else null)."""
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     src = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), payload.alias("_payload"))
-    keys = src.select("_id", F.octet_length("_payload").alias("_n"), F.sha2("_payload", 256).alias("_sha")).where(F.col("_n") >= min_payload)
-    keys = materialise(keys, "payload-keys")
-    groups = keys.groupBy("_sha", "_n").agg(F.max("_id").alias("_refers"), F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
-    copies = materialise(keys.join(groups, ["_sha", "_n"]).groupBy("_id", "_sha", "_refers").count(), "copies")
-    out = src.withColumn("_sha", F.when(F.octet_length("_payload") >= min_payload, F.sha2("_payload", 256)))
-    return out.join(copies.select("_id", "_sha", "_refers"), ["_id", "_sha"], "left")
+    src = src.withColumn("_n", F.octet_length("_payload")).withColumn("_sha", F.when(F.col("_n") >= min_payload, F.sha2("_payload", 256)))
+    src = materialise(src.withColumn("_row", F.monotonically_increasing_id()), "numbered-pages", compression="zstd")
+    keys = src.where("_sha IS NOT NULL").select("_id", "_row", "_sha", "_n")
+    # A null id is the smallest member of a struct.
+    groups = keys.groupBy("_sha", "_n").agg(F.max(F.struct("_id", "_row")).alias("_top"), F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
+    copies = keys.join(groups, ["_sha", "_n"]).where("_row <> _top._row").select("_row", F.col("_top._id").alias("_refers"), F.lit(True).alias("_revisit"))
+    out = src.select("_row", "_id", "_url", "_payload").join(materialise(copies, "revisits"), "_row", "left")
+    return out.select("_id", "_url", "_payload", F.coalesce("_revisit", F.lit(False)).alias("_revisit"), "_refers")
 
 
 def write_packages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_payload: int = MIN_PAYLOAD) -> DataFrame:
     """Writes the packages below ``path``; returns the manifest: file, records."""
-    src = with_responses(pages, id_col, url_col, payload_col, min_payload).select("_id", "_url", "_payload", "_refers")
+    src = with_responses(pages, id_col, url_col, payload_col, min_payload)
 
     def write(batches):
         partition = TaskContext.get().partitionId()
-        records, index, size, number, seen = [], [], 0, 0, set()
+        records, index, size, number = [], [], 0, 0
 
         def flush():
             nonlocal records, index, size, number
@@ -214,14 +218,10 @@ def write_packages(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
         for batch in batches:
             for i in range(batch.num_rows):
-                page, url, payload, refers = (batch.column(c)[i].as_py() for c in range(4))
+                page, url, payload, revisit, refers = (batch.column(c)[i].as_py() for c in range(5))
                 digest = hashlib.sha1(payload).hexdigest()
-                # Rows of one id are in one task: of repeated ones the first is the response.
-                revisit = refers is not None and (refers != page or (page, digest) in seen)
-                if refers is not None and refers == page:
-                    seen.add((page, digest))
-                name = "" if page is None else str(page)
-                record = warc_record("revisit" if revisit else "response", name, url, b"" if revisit else payload, digest, str(refers) if revisit else None, len(payload))
+                name, target = ("" if v is None else str(v) for v in (page, refers))
+                record = warc_record("revisit" if revisit else "response", name, url, b"" if revisit else payload, digest, target if revisit else None, len(payload))
                 if records and size + len(record) > PACKAGE_BYTES:
                     yield flush()
                 index.append(json.dumps({"id": name, "offset": size, "length": len(record)}) + "\n")
@@ -251,7 +251,7 @@ def read_packages(manifest: DataFrame, id_type: str = "long", id_col: str = "pag
                     kind, digest = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha1:")
                     if kind == "response" and (len(payload) != length or hashlib.sha1(payload).hexdigest() != digest):
                         raise ValueError(f"damaged record {entry['id']} in {name}")
-                    rows.append((_name(headers["warc-record-id"]) or None, headers.get("warc-target-uri"), kind, length, digest, _name(headers.get("warc-refers-to")), payload))
+                    rows.append((_name(headers["warc-record-id"]) or None, headers.get("warc-target-uri"), kind, length, digest, _name(headers.get("warc-refers-to")) or None, payload))
                     held += len(payload)
                     if held > 1 << 22 or len(rows) >= 2000:
                         yield batch_of(rows)
