@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +53,10 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+#: Tables that ``materialise`` wrote, innermost ``scratch_tables`` block last.
+_BLOCKS: list[list[tuple[str, DataFrame]]] = []
+
+
 def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -61,7 +67,44 @@ def materialise(df: DataFrame, name: str, compression: str | None = None) -> Dat
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _BLOCKS:
+        _BLOCKS[-1].append((path, out))
+    return out
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession):
+    """Collects the tables written inside; calling what it gives with the
+    tables still needed removes the others, and lets Spark free the shuffle
+    files of jobs that are over."""
+    made: list[tuple[str, DataFrame]] = []
+    _BLOCKS.append(made)
+
+    def drop_but(*needed: DataFrame) -> None:
+        for path, df in made:
+            if not any(df is n for n in needed):
+                remove_folder(spark, path)
+        made[:] = [m for m in made if any(m[1] is n for n in needed)]
+        free_shuffles(spark)
+
+    try:
+        yield drop_but
+    finally:
+        _BLOCKS.remove(made)
+        if _BLOCKS:
+            _BLOCKS[-1].extend(made)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark removes a shuffle's files once the driver has collected the plans that used it."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def az_lower(text: Column) -> Column:

@@ -6,11 +6,17 @@ pair's n-grams share one with probability below |x| * |y| / 2**64).  Documents
 with equal sets are one class (128-bit digest of the sorted set), so copies are
 never compared.  Then, over classes:
 
-1. *Shared counts.*  The n-gram space is cut into fragments.  Each fragment
-   finds by itself which of its n-grams occur in two classes or more and counts
-   them per class; the counts are summed per class.  A class of which less than
-   the threshold's share is shared can have no partner.  In this step n-grams
-   are compared by fewer bits, which may only count too many as shared.
+1. *Shared counts.*  The n-gram space is cut into fragments.  Documents are
+   taken in runs; a run sends each fragment its n-grams there (32 bits of each,
+   and the place of its class in the run), all of a run in one row, and one row
+   that names its documents and classes.  A fragment finds by itself which of its
+   n-grams occur in two classes or more and sends each run the places of those;
+   the run adds them up.  A class of which less than the threshold's share is
+   shared can have no partner.  In this step n-grams are compared by fewer bits,
+   which may only count too many as shared, and classes by 64 bits of their
+   digest.
+   Texts of other classes are left behind by a bitmap of bounded size before
+   the few that are needed are moved.
 2. *Order and segments.*  For the classes left, n-grams are ordered by document
    frequency, rare ones first, and this global order is cut into fragments at
    pivots; a class is a segment per fragment.
@@ -20,6 +26,10 @@ never compared.  Then, over classes:
    class that most of its prefix n-grams point to, so a group of k near copies
    costs k pairs; then, with the components so far, only pairs across components
    are tried, from the members outside a prefix n-gram's largest component.
+   A place in the order bounds the size of a partner that enough n-grams can
+   follow in, so the join is on the n-gram and a band of sizes, and classes that
+   share a long passage but are too unlike meet nowhere; an n-gram of many
+   classes is cut into tiles.
    A pair inside one component need not be counted, as it can't change it.
 4. *Overlaps.*  Partial overlaps are counted per pair and fragment, separately,
    and summed per pair; the sum decides.
@@ -27,10 +37,11 @@ never compared.  Then, over classes:
 Links are exact: nothing is sampled or capped.  Components come from minimum
 labels passed along the links with pointer jumping.
 
-Skew: copies are collapsed in the map tasks and again per class; joins on
-n-grams, classes and pairs are sort-merge joins whose large partitions adaptive
-execution splits; a fragment holds about ``FRAGMENT_GRAMS`` n-grams however
-often one of them occurs, since a class counts once.
+Skew: copies are collapsed in their run, so a class has at most one row per run
+in any join, however many copies it has; a fragment holds about
+``FRAGMENT_GRAMS`` n-grams however often one of them occurs, since a class counts
+once a run; joins on n-grams and pairs are sort-merge joins whose large
+partitions adaptive execution splits, besides the tiles.
 
 Defined results: null, empty and blank texts have an empty set and are linked
 with nothing, not with each other; a text of fewer words than n is one n-gram;
@@ -44,12 +55,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, ship_package
+from .common import free_shuffles, map_arrow, materialise, scratch_tables, ship_package
 from .units import slices
 
 N = 5
@@ -59,7 +70,15 @@ FRAGMENT_GRAMS = 4_000_000
 #: Bytes of text per n-gram, at least; only sets the number of fragments.
 BYTES_PER_GRAM = 6
 FLUSH_GRAMS = 2_000_000
+#: Documents per run at most; places of classes take 16 bits.
+FLUSH_DOCUMENTS = 50_000
 HUB_ROUNDS = 2
+#: Sizes of classes in one band of the join differ by this factor at most.
+BAND = 1.05
+#: Rows of 64 bits of the bitmap by which texts are left behind: some 10 MB when sent.
+BITMAP_WORDS = 1 << 18
+#: Classes of one n-gram that a tile tries against the others.
+TILE = 2000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 _WORDS: dict[bytes, int] = {}
@@ -99,86 +118,151 @@ def digest(grams: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in np.frombuffer(xxhash.xxh3_128_digest(grams.tobytes()), "<i8"))
 
 
-def set_digests(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """_id, n, s1, s2 per document; the digest of an empty set is null."""
-    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
+_RUN_COLUMNS = ("fragment", "run", "ids", "slots", "keys", "sizes", "grams", "owners")
 
-    def run(batches):
-        for batch in batches:
-            for first, texts in slices(batch, 1):
-                sets = [gram_set(t, n) for t in texts]
-                keys = [digest(s) if len(s) else (None, None) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)]],
-                    ["_id", "n", "s1", "s2"],
-                )
-
-    return map_arrow(src, run, f"_id {src.schema['_id'].dataType.simpleString()}, n long, s1 long, s2 long")
-
-
-def fragment_pieces(docs: DataFrame, text_col: str, n: int, fragments: int) -> DataFrame:
-    """Vertical pieces of the sets of a run of documents: fragment, classes (16 bytes each), counts and n-grams (32 bits each)."""
-    src = docs.select(F.col(text_col).alias("_t"))
-    names = ["fragment", "classes", "counts", "grams"]
-
-    def cut(sets: dict[bytes, np.ndarray]):
-        keys = np.frombuffer(b"".join(sets), "<i8").reshape(-1, 2)
-        grams = np.concatenate(list(sets.values()))
-        owner = np.repeat(np.arange(len(keys)), [len(s) for s in sets.values()])
-        part = ((grams >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
+
+def run_pieces(docs: DataFrame, id_col: str, text_col: str, n: int, fragments: int) -> DataFrame:
+    """Per run of documents a head (fragment below 0: ids, class place of each
+    or -1, class digests and set sizes) and a piece per fragment (n-grams, 32
+    bits each, with the places of their classes, and 64 bits of the digest of
+    each class in it)."""
+    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
+    id_type = src.schema["_id"].dataType.simpleString()
+
+    def batch_of(fragment, run, ids, slots, keys, sizes, grams, owners):
+        values = [pa.array([fragment], pa.int64()), pa.array([run], pa.int64()), ids, *[pa.array([v], pa.binary()) for v in (slots, keys, sizes, grams, owners)]]
+        return pa.RecordBatch.from_arrays(values, list(_RUN_COLUMNS))
+
+    def cut(run: int, parts: list, slots: list[int], sets: dict[bytes, int], grams: list[np.ndarray]):
+        ids = pa.concat_arrays(parts)
+        sizes = np.array([len(g) for g in grams], "<u4")
+        keys = b"".join(sets)
+        yield batch_of(-1 - run, run, pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), np.array(slots, "<i4").tobytes(), keys, sizes.tobytes(), None, None)
+        if not grams:
+            return
+        none = pa.nulls(1, pa.list_(ids.type))
+        flat, owner = np.concatenate(grams), np.repeat(np.arange(len(grams)), sizes)
+        part = ((flat >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
         order = np.argsort(part, kind="stable")
         bounds = np.searchsorted(part[order], np.arange(fragments + 1))
-        low = grams.astype(np.uint32)
+        low, tags = flat.astype("<u4"), np.frombuffer(keys, "<u8")[::2]
         for f in range(fragments):
             mine = order[bounds[f] : bounds[f + 1]]
             if len(mine):
-                own, counts = np.unique(owner[mine], return_counts=True)
-                yield f, keys[own].tobytes(), counts.astype("<u4").tobytes(), low[mine].astype("<u4").tobytes()
-
-    def batch_of(rows):
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                of = owner[mine]
+                yield batch_of(f, run, none, None, tags[of[np.r_[True, of[1:] != of[:-1]]]].tobytes(), None, low[mine].tobytes(), of.astype("<u2").tobytes())
 
     def run(batches):
-        sets: dict[bytes, np.ndarray] = {}
-        held = 0
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        parts, slots, sets, grams, held = [], [], {}, [], 0
         for batch in batches:
-            for _, texts in slices(batch, 0):
+            for first, texts in slices(batch, 1):
+                parts.append(batch.column(0).slice(first, len(texts)))
                 for t in texts:
                     s = gram_set(t, n)
+                    slot = -1
                     if len(s):
                         key = np.array(digest(s), "<i8").tobytes()
-                        if key not in sets:
-                            sets[key] = s
+                        slot = sets.setdefault(key, len(sets))
+                        if slot == len(grams):
+                            grams.append(s)
                             held += len(s)
-                if held > FLUSH_GRAMS:
-                    yield batch_of(list(cut(sets)))
-                    sets, held = {}, 0
-        if sets:
-            yield batch_of(list(cut(sets)))
-
-    return map_arrow(src, run, "fragment int, classes binary, counts binary, grams binary")
-
-
-def shared_in_fragment(pieces: pd.DataFrame) -> pd.DataFrame:
-    """s1, s2, shared: n-grams of one fragment that occur in two classes or more, per class."""
-    keys = np.frombuffer(b"".join(pieces["classes"]), "<i8").reshape(-1, 2)
-    counts = np.frombuffer(b"".join(pieces["counts"]), "<u4").astype(np.int64)
-    grams = np.frombuffer(b"".join(pieces["grams"]), "<u4")
-    by_key = np.lexsort((keys[:, 1], keys[:, 0]))  # a class may come from several runs
-    keep = np.ones(len(keys), bool)
-    keep[by_key[1:]] = (keys[by_key[1:]] != keys[by_key[:-1]]).any(axis=1)
-    grams = grams[np.repeat(keep, counts)]
-    keys, counts = keys[keep], counts[keep]
-    order = np.argsort(grams, kind="stable")
-    sorted_grams = grams[order]
-    same = np.r_[False, sorted_grams[1:] == sorted_grams[:-1]]
-    twice = same | np.r_[same[1:], False]
-    shared = np.zeros(len(grams), np.int64)
-    shared[order] = twice
-    per_class = np.add.reduceat(shared, np.cumsum(counts) - counts) if len(counts) else counts
-    hit = per_class > 0
-    return pd.DataFrame({"s1": keys[hit, 0], "s2": keys[hit, 1], "shared": per_class[hit]})
+                    slots.append(slot)
+                if held > FLUSH_GRAMS or len(slots) > FLUSH_DOCUMENTS:
+                    yield from cut(number, parts, slots, sets, grams)
+                    number += 1
+                    parts, slots, sets, grams, held = [], [], {}, [], 0
+        if parts:
+            yield from cut(number, parts, slots, sets, grams)
+
+    return map_arrow(src, run, f"fragment long, run long, ids array<{id_type}>, slots binary, keys binary, sizes binary, grams binary, owners binary")
+
+
+def shared_in_fragment(pieces: pa.Table) -> pa.Table:
+    """Of a fragment, per run: the places of classes that share n-grams there
+    with another class (``owners``), and how many (``grams``).  Heads pass."""
+    if pieces["fragment"][0].as_py() < 0:
+        return pieces
+    grams = [np.frombuffer(g, "<u4") for g in pieces["grams"].to_pylist()]
+    owners = [np.frombuffer(o, "<u2") for o in pieces["owners"].to_pylist()]
+    tags = [np.repeat(np.frombuffer(k, "<u8"), np.diff(np.flatnonzero(np.r_[True, o[1:] != o[:-1], True]))) for k, o in zip(pieces["keys"].to_pylist(), owners, strict=True)]
+    flat, tag = np.concatenate(grams), np.concatenate(tags)
+    order = np.argsort(flat, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(flat[order]) != 0])
+    sizes = np.diff(np.r_[starts, len(order)])
+    tag = tag[order]
+    several = np.logical_or.reduceat(tag != np.repeat(tag[starts], sizes), starts)
+    shared = np.zeros(len(flat), bool)
+    shared[order] = np.repeat(several, sizes)
+    kept, counts, at = [], [], 0
+    for o in owners:
+        found, n = np.unique(o[shared[at : at + len(o)]], return_counts=True)
+        at += len(o)
+        kept.append(found.astype("<u2").tobytes())
+        counts.append(n.astype("<u4").tobytes())
+    out = {c: pa.nulls(len(pieces), pieces.schema.field(c).type) for c in _RUN_COLUMNS}
+    out |= {"fragment": pieces["fragment"], "run": pieces["run"], "owners": pa.array(kept, pa.binary()), "grams": pa.array(counts, pa.binary())}
+    return pa.table(out).filter(pa.array([len(k) > 0 for k in kept]))
+
+
+def classes_of_runs(heads: DataFrame) -> DataFrame:
+    """run, slot, s1, s2: the classes of each run."""
+
+    def run(batches):
+        for batch in batches:
+            for r, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                k = np.frombuffer(keys, "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), r)), pa.array(np.arange(len(k))), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy())], ["run", "slot", "s1", "s2"])
+
+    return map_arrow(heads.select("run", "keys"), run, "run long, slot long, s1 long, s2 long")
+
+
+def likely_in_run(percent: int):
+    """Of a run's head and the counts that fragments sent it: s1, s2 of the classes that can have a partner."""
+
+    def run(key, heads: pa.Table, counts: pa.Table) -> pa.Table:
+        head = heads.to_pylist()[0]
+        sizes = np.frombuffer(head["sizes"], "<u4").astype(np.int64)
+        shared = np.zeros(len(sizes), np.int64)
+        for owners, n in zip(counts["owners"].to_pylist(), counts["grams"].to_pylist(), strict=True):
+            shared[np.frombuffer(owners, "<u2")] += np.frombuffer(n, "<u4")
+        k = np.frombuffer(head["keys"], "<i8").reshape(-1, 2)[100 * shared >= percent * sizes]
+        return pa.table({"s1": k[:, 0].copy(), "s2": k[:, 1].copy()})
+
+    return run
+
+
+def documents_of_runs(heads: DataFrame) -> DataFrame:
+    """_id, n, s1, s2 of the documents that have n-grams."""
+    id_type = heads.schema["ids"].dataType.elementType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                slots, keys, sizes = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in ((1, "<i4"), (2, "<i8"), (3, "<u4")))
+                has = np.flatnonzero(slots >= 0)
+                of = slots[has]
+                k = keys.reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i].values.take(pa.array(has)), pa.array(sizes[of].astype(np.int64)), pa.array(k[of, 0]), pa.array(k[of, 1])], ["_id", "n", "s1", "s2"])
+
+    return map_arrow(heads.select("ids", "slots", "keys", "sizes"), run, f"_id {id_type}, n long, s1 long, s2 long")
+
+
+def component_of_documents(key, heads: pa.Table, classes: pa.Table) -> pa.Table:
+    """_id, n, component, class_size of a run's documents, from those of its classes."""
+    head = heads.combine_chunks()
+    ids = head["ids"].chunk(0)[0].values
+    slots = np.frombuffer(head["slots"][0].as_py(), "<i4")
+    sizes = np.frombuffer(head["sizes"][0].as_py(), "<u4").astype(np.int64)
+    place = np.full(len(sizes) + 1, -1, np.int64)  # the last one for documents without n-grams
+    place[classes["slot"].to_numpy()] = np.arange(len(classes))
+    at, none = place[slots], slots < 0
+    take = pa.array(np.where(none, 0, at), mask=none)
+    component = pa.compute.if_else(pa.array(none), ids, classes["component"].combine_chunks().take(take))
+    class_size = pa.compute.fill_null(classes["class_size"].combine_chunks().take(take), 1)
+    return pa.table({"_id": ids, "n": np.where(none, 0, np.r_[sizes, 0][slots]), "component": component, "class_size": class_size})
 
 
 def gram_rows(holders: DataFrame, n: int) -> DataFrame:
@@ -269,40 +353,66 @@ def class_components(sets: DataFrame, percent: int) -> DataFrame:
     sizes = at.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("_m"))
     major = sizes.groupBy("gram").agg(F.max_by("label", "_m").alias("major"), F.count(F.lit(1)).alias("_l")).where("_l > 1").drop("_l")
     mixed = at.join(major, "gram")
-    a = mixed.where("label <> major").select("gram", F.col("_class").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"))
-    b = mixed.select("gram", F.col("_class").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"))
-    need = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
-    fits = (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    fits &= F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need
-    pairs = a.join(b, "gram").where(fits).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    # With r of a class's n n-grams at or after the shared one, a partner of m has r >= percent * (n + m) / (100 + percent), on both sides.
+    most = F.floor(((100 + percent) * (F.col("n") - F.col("place"))) / F.lit(percent)) - F.col("n")
+    band = lambda size: F.floor(F.log(size) / F.lit(math.log(BAND)))
+    low, high = F.ceil(F.col("n") * percent / F.lit(100)), F.least(most, F.floor(F.col("n") * F.lit(100) / percent))
+    mixed = mixed.withColumn("most", most)
+    outside = mixed.where("label <> major")
+    tiles = outside.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).alias("_tiles"))
+    a = outside.where(high >= low).join(tiles, "gram").withColumn("band", F.explode(F.sequence(band(low), band(high))))
+    a = a.select("gram", "band", F.pmod(F.xxhash64("_class"), "_tiles").alias("tile"), F.col("_class").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("label").alias("la"))
+    b = mixed.join(tiles, "gram").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    b = b.select("gram", band(F.col("n")).alias("band"), "tile", F.col("_class").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("label").alias("lb"))
+    fits = (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("nb") <= F.col("ma")) & (F.col("na") <= F.col("mb"))
+    pairs = a.join(b, ["gram", "band", "tile"]).where(fits).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
     rest = materialise(links(pairs, segs, percent), "cross-links")
     return components(nodes, found.unionByName(rest))
 
 
+def possible(rows: DataFrame, col: str, wanted: DataFrame, wanted_col: str) -> DataFrame:
+    """``rows`` without most of those whose ``col`` is not among the wanted
+    values, by a bitmap of hashed values.  The bitmap has about 64 bits per
+    value and at most ``BITMAP_WORDS`` rows of 64 bits, which is what is sent to
+    the tasks; beyond that size more rows pass, and a join on the value decides
+    as before."""
+    n = wanted.count()
+    words = min(BITMAP_WORDS, 1 << max(4, (n - 1).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(64 * words))
+    word = lambda c: F.floor(place(c) / 64)
+    bit = lambda c: F.lit([1 << k if k < 63 else -(1 << 63) for k in range(64)])[(place(c) % 64).cast("int")]
+    bitmap = wanted.select(word(wanted_col).alias("_word"), bit(wanted_col).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    found = rows.withColumn("_word", word(col)).join(F.broadcast(bitmap), "_word")
+    return found.where(F.col("_bits").bitwiseAND(bit(col)) != 0).select(*rows.columns)
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row per document: id, n_shingles, component_id, class_size (documents with an equal set)."""
-    ship_package(docs.sparkSession)
-    rows = materialise(set_digests(docs, id_col, text_col, n), "set-digests")
-    classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("_id").alias("_rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("class_size"))
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    fragments = max(8, math.ceil(total / FRAGMENT_GRAMS))
-    pieces = fragment_pieces(docs, text_col, n, fragments)
-    counted = pieces.groupBy("fragment").applyInPandas(shared_in_fragment, "s1 long, s2 long, shared long")
-    shared = counted.groupBy("s1", "s2").agg(F.sum("shared").alias("shared"))
-    likely = classes.join(shared, ["s1", "s2"]).where(100 * F.col("shared") >= percent * F.col("n"))
-    likely = materialise(likely.withColumn("_class", F.monotonically_increasing_id()), "likely-classes")
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    holders = likely.join(texts, F.col("_rep").eqNullSafe(F.col("_id")))
-    sets = materialise(gram_rows(holders, n), "gram-sets")
-    labels = class_components(sets, percent)
-    smallest = likely.join(labels, F.col("_class") == F.col("node")).select("s1", "s2", "_rep", "label")
-    groups = smallest.groupBy("label").agg(F.min("_rep").alias("_component"))
-    of_class = materialise(smallest.join(groups, "label").select("s1", "s2", "_component"), "class-components")
-    keyed = classes.select("s1", "s2", "_rep", "class_size").join(of_class, ["s1", "s2"], "left")
-    out = rows.join(keyed, ["s1", "s2"], "left")
-    return out.select(
-        F.col("_id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("_id")).otherwise(F.coalesce("_component", "_rep")).alias("component_id"),
-        F.coalesce("class_size", F.lit(1)).alias("class_size"),
-    )
+    spark = docs.sparkSession
+    ship_package(spark)
+    with scratch_tables(spark) as drop_but:
+        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+        fragments = max(8, math.ceil(size / BYTES_PER_GRAM / FRAGMENT_GRAMS))
+        pieces = run_pieces(docs, id_col, text_col, n, fragments)
+        counted = materialise(pieces.groupBy("fragment").applyInArrow(shared_in_fragment, pieces.schema), "runs")
+        free_shuffles(spark)
+        heads, counts = counted.where("fragment < 0"), counted.where("fragment >= 0").select("run", "owners", "grams")
+        likely = heads.select("run", "keys", "sizes").groupBy("run").cogroup(counts.groupBy("run")).applyInArrow(likely_in_run(percent), "s1 long, s2 long").distinct()
+        classes = documents_of_runs(heads).groupBy("s1", "s2").agg(F.min("_id").alias("_rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("class_size"))
+        classes = materialise(classes, "classes")
+        likely = materialise(classes.join(likely, ["s1", "s2"]).withColumn("_class", F.monotonically_increasing_id()), "likely-classes")
+        texts = possible(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")), "_id", likely, "_rep")
+        holders = likely.join(texts, F.col("_rep").eqNullSafe(F.col("_id")))
+        sets = materialise(gram_rows(holders, n), "gram-sets")
+        free_shuffles(spark)
+        labels = class_components(sets, percent)
+        smallest = likely.join(labels, F.col("_class") == F.col("node")).select("s1", "s2", "_rep", "label")
+        groups = smallest.groupBy("label").agg(F.min("_rep").alias("_component"))
+        of_class = materialise(smallest.join(groups, "label").select("s1", "s2", "_component"), "class-components")
+        drop_but(counted, classes, of_class)
+    known = classes.join(of_class, ["s1", "s2"], "left").select("s1", "s2", F.coalesce("_component", "_rep").alias("component"), "class_size")
+    by_run = classes_of_runs(heads).join(known, ["s1", "s2"]).select("run", "slot", "component", "class_size")
+    id_type = classes.schema["_rep"].dataType.simpleString()
+    heads = heads.select("run", "ids", "slots", "sizes")
+    out = heads.groupBy("run").cogroup(by_run.groupBy("run")).applyInArrow(component_of_documents, f"_id {id_type}, n long, component {id_type}, class_size long")
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "class_size")
