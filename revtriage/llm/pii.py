@@ -7,13 +7,15 @@ each part gets a surrogate from a keyed hash of its kind and normal form:
 * type-consistent: digits stay digits, letters letters, hexadecimal values
   hexadecimal; a valid card number gets one that passes its checksum; country
   codes, punctuation and spacing stay as they were written;
-* names keep the gender that their title shows and their script; initials and
-  particles ("van", "de") stay as they were written;
+* names keep the gender that their title or, in Cyrillic and Greek, their ending
+  shows, and their script (a script without syllables here gets letters of the
+  word itself); initials and particles ("van", "de") stay as they were written;
 * coreference: equal normal forms (case, spacing, punctuation and titles left
-  out) have one surrogate in the whole corpus, and a surname alone is replaced
-  as it is in a full name.  A name is found by its title; other capitalised
+  out) have one surrogate in the whole corpus, and a surname alone, or one half
+  of a double one, is replaced as it is in a full name.  A name is found by its title; other capitalised
   mentions of its words in the same text are then replaced too, each counted as
-  an entity;
+  an entity.  Scripts without capitals, where a title tells no name apart from
+  the words after it, are not searched for names;
 * distinctness: no two parts of a kind share a surrogate and no surrogate is a
   part that occurs in the corpus.  Parts that collide take their next attempt
   until none does; who settled first keeps his, so the outcome depends neither
@@ -42,11 +44,11 @@ from .common import materialise
 KEY = "surrogates"
 MAX_ATTEMPTS = 40
 
-MEN = ("Mr", "Sir", "Herr", "Herrn", "Monsieur", "M", "Señor", "Sr", "Don", "г-н", "господин")
-WOMEN = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña", "г-жа", "госпожа")
+MEN = ("Mr", "Sir", "Herr", "Herrn", "Monsieur", "M", "Señor", "Sr", "Don", "г-н", "господин", "κ", "κύριος")
+WOMEN = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña", "г-жа", "госпожа", "κα", "κυρία")
 OTHER = ("Dr", "Prof")
 
-#: Given names by gender and script, and syllables of invented surnames.
+#: First choices of given names by gender and script; further ones are made of syllables.
 GIVEN = {
     "man_latin": ("Adrian", "Benedict", "Casper", "Dominic", "Emil", "Florian", "Gregor", "Hector", "Isidor", "Julian", "Konrad", "Lorenz", "Marius", "Oscar", "Quentin", "Rupert"),
     "woman_latin": ("Adele", "Beatrix", "Clara", "Dorothea", "Elena", "Frida", "Greta", "Helena", "Irma", "Judith", "Klara", "Leonie", "Mathilde", "Odette", "Petra", "Rosalie"),
@@ -54,16 +56,45 @@ GIVEN = {
     "man_cyrillic": ("Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Захар", "Игорь", "Кирилл", "Лев", "Матвей", "Олег", "Павел", "Роман", "Семён", "Тимур"),
     "woman_cyrillic": ("Алла", "Вера", "Галина", "Дарья", "Ева", "Жанна", "Зоя", "Инна", "Кира", "Лада", "Майя", "Нина", "Ольга", "Полина", "Рита", "Софья"),
 }
-GIVEN["any_cyrillic"] = GIVEN["man_cyrillic"]
-SURNAME = {
-    "latin": (("Al", "Bran", "Cor", "Dal", "Er", "Fen", "Gar", "Hol", "Ker", "Lan", "Mor", "Nor", "Os", "Pel", "Ros", "Var"), ("ba", "do", "ga", "le", "mi", "na", "ro", "ta", "be", "di", "ge", "lo", "ma", "ni", "ra", "to"), ("bury", "croft", "den", "feld", "gate", "ham", "lund", "mann", "mont", "ner", "shaw", "stein", "ton", "vale", "well", "wick")),
-    "cyrillic": (("Бар", "Вел", "Гор", "Дар", "Зар", "Кал", "Лук", "Мар", "Нов", "Ор", "Пал", "Рад", "Сав", "Тар", "Фад", "Яр"), ("ба", "ви", "го", "де", "за", "ка", "ли", "мо", "на", "по", "ра", "са", "ти", "ва", "ми", "ло"), ("ев", "ин", "ов", "ский", "цев", "нов", "кин", "лин", "рин", "тов", "шин", "хов", "дин", "гин", "вич", "енко")),
+GIVEN |= {
+    "man_greek": ("Αλέξης", "Βασίλης", "Γιώργος", "Δημήτρης", "Ηλίας", "Θανάσης", "Κώστας", "Λευτέρης"),
+    "woman_greek": ("Αθηνά", "Βασιλική", "Γεωργία", "Δήμητρα", "Ελένη", "Ζωή", "Ιωάννα", "Κατερίνα"),
 }
+#: Syllables of invented names by script: heads, middles, and the endings that show a gender.
+HEADS = {
+    "latin": ("Al", "Bran", "Cor", "Dal", "Er", "Fen", "Gar", "Hol", "Ker", "Lan", "Mor", "Nor", "Os", "Pel", "Ros", "Var"),
+    "cyrillic": ("Бар", "Вел", "Гор", "Дар", "Зар", "Кал", "Лук", "Мар", "Нов", "Ор", "Пал", "Рад", "Сав", "Тар", "Фад", "Яр"),
+    "greek": ("Αν", "Βασ", "Γαλ", "Δελ", "Ζαρ", "Θαλ", "Καρ", "Λαμ", "Μαν", "Νικ", "Παρ", "Ραλ", "Σαρ", "Ταμ", "Φαλ", "Χαρ"),
+}
+MIDDLES = {
+    "latin": ("ba", "do", "ga", "le", "mi", "na", "ro", "ta", "be", "di", "ge", "lo", "ma", "ni", "ra", "to"),
+    "cyrillic": ("ба", "ви", "го", "де", "за", "ка", "ли", "мо", "на", "по", "ра", "са", "ти", "ва", "ми", "ло"),
+    "greek": ("βα", "γο", "δε", "θα", "κα", "λι", "μα", "νο", "πα", "ρα", "σι", "τα", "φο", "χα", "λε", "μι"),
+}
+GIVEN_ENDS = {
+    "man_latin": ("rik", "mund", "bert", "win", "nio", "rus"),
+    "woman_latin": ("lina", "rike", "bella", "trude", "nia", "ra"),
+    "any_latin": ("ne", "ry", "ly", "mi", "rin", "lou"),
+    "man_cyrillic": ("слав", "мир", "рий", "тин", "лан", "мин"),
+    "woman_cyrillic": ("слава", "мира", "рия", "тина", "лана", "мила"),
+    "man_greek": ("νης", "ρης", "λος", "κης", "μος", "στος"),
+    "woman_greek": ("νη", "ρα", "λία", "κη", "μία", "στα"),
+}
+SURNAME_ENDS = {
+    "latin": ("bury", "croft", "den", "feld", "gate", "ham", "lund", "mann", "mont", "ner", "shaw", "stein", "ton", "vale", "well", "wick"),
+    "cyrillic": ("ев", "ин", "ов", "ский", "цев", "нов", "кин", "лин", "рин", "тов", "шин", "хов", "дин", "гин", "вич", "енко"),
+    "cyrillic_woman": ("ева", "ина", "ова", "ская", "цева", "нова", "кина", "лина", "рина", "това", "шина", "хова", "дина", "гина", "кова", "сова"),
+    "greek": ("ίδης", "άκης", "όπουλος", "άτος", "ούλης", "άκος", "ιάδης", "έλης"),
+    "greek_woman": ("ίδου", "άκη", "οπούλου", "άτου", "ούλη", "άκου", "ιάδου", "έλη"),
+}
+#: Endings by which a surname is a woman's.
+WOMANS = r"(?:ова|ева|ёва|ина|ына|ская|цкая|ная)$"
+WOMANS_GREEK = r"(?:ου|άκη|έλη)$"
 
 _TITLE = r"\b(?:" + "|".join(MEN + WOMEN + OTHER) + r")\b\.?"
 _SECRET = r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9+/_.~-]{6,}"
 _ACCESS_KEY = r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"
-_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"
+_EMAIL = r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[\p{L}\p{M}\p{N}-]++(?:\.[\p{L}\p{M}\p{N}-]+)*\.[\p{L}\p{M}]{2,24}"
 _IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
@@ -136,6 +167,10 @@ PATTERNS = (
     ("name", _TITLE + r" (?:\p{Lu}\. ?){0,3}(?:" + _PARTICLE + r"){0,3}" + _FIRST_WORD + rf"(?:{_BETWEEN}{_NEXT_WORD}){{0,3}}"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
+#: What can occur in a text without digits, and without an @, a colon and an equals sign besides.
+_OF = dict(PATTERNS)
+NO_DIGITS = "|".join(f"(?:{_OF[k]})" for k in ("secret", "access_key", "email", "name"))
+NAMES = _OF["name"]
 _SECRET_HEAD = r"^(.*?[:=]\s{0,3}[\"']?)[A-Za-z0-9+/_.~-]{6,}$"
 
 
@@ -164,6 +199,15 @@ def _plain(w: str) -> str:
     return f"replace(lower({w}), '’', chr(39))"
 
 
+def _name_kind() -> str:
+    """SQL: kind of the i-th word w of a name, whose last ``_last`` words are its surname."""
+    script = "CASE WHEN w rlike '\\\\p{IsCyrillic}' THEN 'cyrillic' WHEN w rlike '\\\\p{IsGreek}' THEN 'greek' WHEN w rlike '\\\\p{IsLatin}' THEN 'latin' ELSE 'other' END"
+    woman = f"CASE WHEN w rlike '{WOMANS}' OR w rlike '{WOMANS_GREEK}' THEN '_woman' ELSE '' END"
+    # A name without a gendered title shows its own where its script's names do.
+    gender = f"CASE WHEN _gender <> 'any' OR {script} NOT IN ('cyrillic', 'greek') THEN _gender WHEN w rlike '[аяάαηή]$' THEN 'woman' ELSE 'man' END"
+    return f"IF(i >= size(_words) - _last, concat('surname_', {script}, {woman}), concat('given_', {gender}, '_', {script}))"
+
+
 #: Per entity row (type, raw): its parts (kind, normal form).
 PARTS = f"""
 CASE type
@@ -174,7 +218,7 @@ CASE type
  WHEN 'ip' THEN array(struct('ip' AS kind, raw AS canon))
  WHEN 'ip6' THEN array(struct('ip6' AS kind, array_join(transform(concat(_left, array_repeat('0', 8 - size(_left) - size(_right)), _right), x -> lpad(x, 4, '0')), ':') AS canon))
  WHEN 'phone' THEN array(struct(concat('phone', length(regexp_extract(raw, '^\\\\+({COUNTRY_CODE})', 1))) AS kind, {_digits("raw")} AS canon))
- WHEN 'name' THEN transform(_words, (w, i) -> struct(concat(IF(i = size(_words) - 1, 'surname', concat('given_', _gender)), '_', IF(w rlike '\\\\p{{IsCyrillic}}', 'cyrillic', 'latin')) AS kind, {_plain("w")} AS canon))
+ WHEN 'name' THEN transform(_words, (w, i) -> struct({_name_kind()} AS kind, {_plain("w")} AS canon))
  ELSE array(struct(type AS kind, {_digits("raw")} AS canon))
 END
 """
@@ -188,7 +232,7 @@ def _byte(i: str) -> str:
 def _shaped(x: str) -> str:
     """SQL: ``x`` with its digits and ASCII letters replaced by ones from _h."""
     b = _byte("i")
-    one = f"CASE WHEN c rlike '[0-9]' THEN cast({b} % 10 AS string) WHEN c rlike '[a-z]' THEN chr(97 + {b} % 26) WHEN c rlike '[A-Z]' THEN chr(65 + {b} % 26) ELSE c END"
+    one = f"CASE WHEN c rlike '[0-9]' THEN cast({b} % 10 AS string) WHEN c rlike '[A-Z]' THEN chr(65 + {b} % 26) WHEN c rlike '[a-z]|\\\\p{{L}}' THEN chr(97 + {b} % 26) ELSE c END"
     return f"array_join(transform(split({x}, ''), (c, i) -> {one}), '')"
 
 
@@ -211,15 +255,20 @@ def _pick(values: tuple[str, ...], i: int) -> str:
     return f"{_array(values)}[{_byte(str(i))} % {len(values)}]"
 
 
+def _composed(script: str, ends: tuple[str, ...], first: int) -> str:
+    """SQL: a name of syllables, with more middles on each attempt after ``first``."""
+    middles = MIDDLES[script]
+    middle = f"array_join(transform(sequence(0, greatest(_attempt - {first}, 0)), i -> IF(i = 0, '', {_array(middles)}[{_byte('i + 2')} % {len(middles)}])), '')"
+    return f"concat({_pick(HEADS[script], 0)}, {middle}, {_pick(ends, 1)})"
+
+
 def _name_sql() -> str:
-    cases = []
-    for script, (heads, middles, tails) in SURNAME.items():
-        middle = f"array_join(transform(sequence(0, _attempt), i -> IF(i = 0, '', {_array(middles)}[{_byte('i + 2')} % {len(middles)}])), '')"
-        cases.append(f"WHEN 'surname_{script}' THEN concat({_pick(heads, 0)}, {middle}, {_pick(tails, 1)})")
+    cases = [f"WHEN 'surname_{which}' THEN {_composed(which.removesuffix('_woman'), ends, 0)}" for which, ends in SURNAME_ENDS.items()]
     for which, names in GIVEN.items():
-        more = f"array_join(transform(sequence(0, _attempt), i -> {_array(names)}[{_byte('i')} % {len(names)}]), '-')"
-        cases.append(f"WHEN 'given_{which}' THEN {more}")
-    return " ".join(cases)
+        cases.append(f"WHEN 'given_{which}' THEN IF(_attempt = 0, {_pick(names, 0)}, {_composed(which.split('_')[1], GIVEN_ENDS[which], 1)})")
+    # Of a script without syllables here: letters of the word itself, more of them on each attempt.
+    own = f"initcap(array_join(transform(sequence(1, length(canon) + _attempt), i -> substring(canon, 1 + {_byte('i')} % length(canon), 1)), ''))"
+    return " ".join(cases) + f" ELSE IF(kind LIKE '%\\_other%', {own}, {_shaped('canon')})"
 
 
 #: Surrogate of a dictionary row (kind, canon, _attempt) by its hash _h.
@@ -235,7 +284,6 @@ CASE kind
  {" ".join(f"WHEN 'phone{n}' THEN concat(substring(canon, 1, {n}), substring({_shaped('canon')}, {n + 1}))" for n in range(4))}
  WHEN 'card' THEN {_card()}
  {_name_sql()}
- ELSE {_shaped("canon")}
 END
 """
 
@@ -263,9 +311,11 @@ def with_parts(entities: DataFrame) -> DataFrame:
     gender = F.when(title.isin(*MEN), "man").when(title.isin(*WOMEN), "woman").otherwise("any")
     x = entities.withColumn("type", _type_of(F.col("raw"))).withColumn("_gender", gender)
     x = x.withColumn("_words", F.regexp_extract_all(F.regexp_replace("raw", r"^\S+ ", ""), F.lit(WORD), F.lit(0)))
+    # A double surname is one: all words after the last blank are the surname's.
+    x = x.withColumn("_last", F.size(F.regexp_extract_all(F.substring_index("raw", " ", -1), F.lit(WORD), F.lit(0))))
     for name, i in (("_left", 1), ("_right", 2)):
         x = x.withColumn(name, F.expr(f"filter(split(split_part(lower(raw), '::', {i}), ':'), x -> x <> '')"))
-    return x.withColumn("parts", F.expr(PARTS)).drop("_gender", "_words", "_left", "_right")
+    return x.withColumn("parts", F.expr(PARTS)).drop("_gender", "_words", "_last", "_left", "_right")
 
 
 #: A gap between entities whose words are looked up among the names of its text (map _names), as they are written there or in capitals.
@@ -295,6 +345,16 @@ def settle(parts: DataFrame, key: str, max_attempts: int = MAX_ATTEMPTS) -> Data
     raise RuntimeError(f"surrogates still collide after {max_attempts} attempts")
 
 
+def found_in(text: Column) -> Column:
+    """The entities of a text.  Cheap looks at the whole text first tell which
+    types it can hold at all; the others' patterns are left out, which changes
+    no match."""
+    digits = text.rlike("[0-9]")
+    signs = text.contains("@") | text.contains(":") | text.contains("=") | text.contains("AKIA") | text.contains("ASIA")
+    all_of = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(digits, all_of(ANY)).when(signs, all_of(NO_DIGITS)).when(text.rlike(_TITLE + r" [\p{Lu}\p{Ll}]"), all_of(NAMES)).when(text.isNotNull(), F.array().cast("array<string>"))
+
+
 def free_name(name: str, df: DataFrame) -> str:
     """``name`` with as many underscores as it takes to clash with no column."""
     taken = {c.lower() for c in df.columns}
@@ -307,7 +367,7 @@ def replace_pii(docs: DataFrame, text_col: str = "text", key: str = KEY, count_c
     """``docs`` with the entities of the text column replaced, and their number as a last column."""
     count_col, found_col, row_col = (free_name(n, docs) for n in (count_col, "_pii_found", "_pii_row"))
     text = F.col(f"`{text_col}`")
-    rows = docs.withColumn(found_col, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).withColumn(row_col, F.monotonically_increasing_id())
+    rows = docs.withColumn(found_col, found_in(text)).withColumn(row_col, F.monotonically_increasing_id())
     rows = materialise(rows, "with-entities")
     number = F.greatest(F.coalesce(F.size(found_col), F.lit(0)), F.lit(0))  # of a null text the size is null or -1
     holders = rows.where(number > 0)
