@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import random
 import re
 import zipfile
@@ -64,6 +65,36 @@ def test_components_against_brute_force(spark, seed):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == dict(enumerate(want)) and len(out) == len(texts)
 
 
+def test_components_over_many_runs_and_fragments(spark, monkeypatch):
+    """Classes spread over many runs, pieces of a few n-grams, and tiles of two classes give the same components."""
+    for name, value in (("FLUSH_DOCUMENTS", 7), ("FRAGMENT_GRAMS", 200), ("TILE", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
+    texts = near_copies(random.Random(8), 5, 6) + awkward_texts()[:20] * 2
+    out = ngram_join.jaccard_components(frame(spark, texts).repartition(4)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == dict(enumerate(brute_components(texts)))
+    sets = [shingles(t) for t in texts]
+    assert all(r["class_size"] == (sets.count(sets[r["doc_id"]]) if sets[r["doc_id"]] else 1) for r in out)
+
+
+def test_classes_that_share_a_passage_but_are_unlike_form_no_pairs(spark):
+    """The band of sizes keeps them apart before any pair is made."""
+    passage = " ".join(f"p{i}" for i in range(100))
+    texts = [passage + " " + " ".join(f"d{k}x{i}" for i in range(20)) for k in range(300)]
+    classes = [ngram_join.gram_set(t) for t in texts]
+    n, place = len(classes[0]), 20
+    most = (100 + 75) * (n - place) // 75 - n
+    assert most < n and int(math.log(most) / math.log(ngram_join.BAND)) < int(math.log(n) / math.log(ngram_join.BAND))
+    out = ngram_join.jaccard_components(frame(spark, texts, extra=False)).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in out)
+
+
+def test_ids_that_are_texts(spark):
+    t = "one two three four five six seven"
+    df = spark.createDataFrame([("b", t), ("a", t + " eight"), (None, "x")], "doc_id string, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(df, percent=70).collect()}
+    assert got == {"b": "a", "a": "a", None: None}
+
+
 def test_repeated_and_null_ids(spark):
     t = "one two three four five six seven"
     out = ngram_join.jaccard_components(frame(spark, [t, t.upper(), None, "", "a b", "A b"], ids=[9, None, 3, 3, 4, 4])).collect()
@@ -122,6 +153,26 @@ def test_warc_round_trip(spark):
     assert warc_zip.warc_round_trip(spark, df.limit(0)).count() == 0
 
 
+def test_one_response_of_repeated_rows_in_many_files(spark, tmp_path):
+    big = "z" * 1500
+    for k in range(6):
+        spark.createDataFrame([(5, f"u{k}", big)], "page_id long, url string, html string").coalesce(1).write.mode("append").parquet(str(tmp_path / "p"))
+    out = warc_zip.warc_round_trip(spark, spark.read.parquet(str(tmp_path / "p"))).collect()
+    assert sorted((r["record_type"], r["refers_to"]) for r in out if r["record_type"] == "revisit") == [("revisit", 5)] * 5 and len(out) == 6
+
+
+def test_equal_payloads_of_null_ids(spark):
+    big, other = "z" * 1500, "y" * 1500
+    rows = [(None, "a", big), (None, "b", big), (None, "c", big), (None, "d", other), (3, "e", other)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    found = warc_zip.warc_round_trip(spark, df).collect()
+    digest = hashlib.sha1(big.encode()).hexdigest()
+    of_big = [(r["record_type"], r["refers_to"]) for r in found if r["payload_digest"] == digest]
+    assert sorted(of_big, key=repr) == [("response", None), ("revisit", None), ("revisit", None)]
+    of_other = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in found if r["payload_digest"] != digest}
+    assert of_other == {3: ("response", None), None: ("revisit", 3)}
+
+
 # --- pipeline --------------------------------------------------------------
 
 
@@ -154,6 +205,36 @@ def test_pipeline_against_brute_force(spark):
     assert sorted({r["doc_id"] for r in packed}) == kept[3]
 
 
+def test_pipeline_on_repeated_rows_null_ids_and_other_columns(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    prose = [" ".join("".join(rng.choice("aeioulmnrst") for _ in range(rng.randrange(3, 8))) for _ in range(40)) for _ in range(4)]
+    texts = [prose[0], prose[0], prose[0], prose[1], prose[1] + " more", None, prose[2], prose[3]]
+    ids = [7, 7, None, None, None, None, 9, 9]
+    df = frame(spark, texts, ids).repartition(3)
+    docs = df
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialise(stage(spark, docs, ""), "t")
+        assert docs.dtypes == df.dtypes
+    assert sorted(r["text"].lower()[:30] for r in docs.collect()) == sorted(p[:30] for p in prose)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 4
+
+
+def test_run_removes_what_its_stages_wrote(spark, tmp_path):
+    import os
+
+    import corpus_pipeline
+
+    texts = near_copies(random.Random(5), 2, 3)
+    frame(spark, texts, extra=False).write.parquet(f"{tmp_path}/documents.parquet")
+    base = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(f"{base}/llm")) if os.path.isdir(f"{base}/llm") else set()
+    n = corpus_pipeline.run(spark, str(tmp_path)).count()
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(f"{base}/llm")) - before}
+    assert n > 0 and left == {name.replace(" ", "-") for name, _ in corpus_pipeline.STAGES[:-1]} | {"pieces"}
+
+
 def test_pipeline_on_an_empty_table(spark):
     import corpus_pipeline
 
