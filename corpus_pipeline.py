@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revtriage.llm.common import materialise, table
+from revtriage.llm.common import materialise, scratch_tables, table
 from revtriage.llm.exact_dedup import exact_dedup
 from revtriage.llm.ngram_join import jaccard_components
 from revtriage.llm.packing import best_fit_packing
@@ -24,28 +24,31 @@ from revtriage.llm.pii import free_name, replace_pii
 from revtriage.llm.quality import judge_quality
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The verdict follows from a row's votes and the fitted rules, so whole rows go through, without a join."""
     row = free_name("_row", docs)
-    return materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
-
+    return judge_quality(docs.select(F.struct(*docs.columns).alias(row), "text"), id_col=row).where("kept").select(f"{row}.*")
 
-def _only(rows: DataFrame, row: str, kept: DataFrame) -> DataFrame:
-    return rows.join(kept.select(row), row, "left_semi").drop(row)
 
+def _kept_by(docs: DataFrame, decide) -> DataFrame:
+    """The rows whose numbers ``decide(numbered rows, number column)`` returns.
 
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, row = _numbered(docs)
-    return _only(rows, row, judge_quality(rows, id_col=row).where("kept")).select(*docs.columns)
+    Rows are numbered in a written copy; what the decision wrote besides its
+    numbers is removed before the texts are moved."""
+    row = free_name("_row", docs)
+    with scratch_tables(docs.sparkSession) as drop_but:
+        rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered", compression="zstd")
+        kept = materialise(decide(rows, row).select(row), "kept")
+        drop_but(rows, kept)
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, row = _numbered(docs)
-    return _only(rows, row, exact_dedup(rows, carry=row).where("kept")).select(*docs.columns)
+    return _kept_by(docs, lambda rows, row: exact_dedup(rows, carry=row).where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, row = _numbered(docs)
-    return _only(rows, row, jaccard_components(rows, id_col=row).where(F.col(row) == F.col("component_id"))).select(*docs.columns)
+    return _kept_by(docs, lambda rows, row: jaccard_components(rows, id_col=row).where(F.col(row) == F.col("component_id")))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,9 +74,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage wrote on its way is removed once its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch_tables(spark) as drop_but:
+            done = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            drop_but(done)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
