@@ -230,6 +230,8 @@ def oracle_sql() -> dict[str, str]:
     )
     out["x7_weak_label"] = f"SELECT review_id, suggested_label, rule_score, review_status FROM ({rules_rev}) r"
     out["x7_status_counts"] = f"SELECT review_status, suggested_label, count(*) AS n FROM ({rules_rev}) r GROUP BY ALL"
+    default_rev = relabel_sql(f"(SELECT review_id, text FROM {REVIEWS})", "review_id", config.DEFAULT_RULESET)
+    out["x7_default_rules"] = f"SELECT review_id, suggested_label, rule_score, review_status FROM ({default_rev}) r"
     routed = f"SELECT CASE WHEN suggested_label IS NOT NULL THEN 'relabelled' ELSE 'manual_review' END AS route, * FROM ({rules_rev}) r"
     out["k8_relabel_report"] = (
         f"WITH r AS ({routed}) SELECT route, CASE WHEN suggested_label IS NOT NULL THEN suggested_label ELSE review_status END AS value, count(*) AS n FROM r GROUP BY ALL "

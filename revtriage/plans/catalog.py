@@ -66,6 +66,12 @@ def q_x7_status_counts(spark, d):
     return r.groupBy("review_status", "suggested_label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def q_x7_default_rules(spark, d):
+    """X7 with the whole default vocabulary, which has several times the entries of the test one."""
+    rev = S.reviews(spark, d).select("review_id", "text")
+    return LAB.relabel(rev, config.DEFAULT_RULESET).select("review_id", "suggested_label", "rule_score", "review_status")
+
+
 def q_k8_relabel_report(spark, d):
     r = LAB.relabel(S.reviews(spark, d).select("review_id", "text"), S.TEST_RULES)
     return LAB.relabel_report(r)
@@ -371,6 +377,7 @@ def registry() -> dict:
         "x2_rule_clean": q_x2_rule_clean,
         "x7_weak_label": q_x7_weak_label,
         "x7_status_counts": q_x7_status_counts,
+        "x7_default_rules": q_x7_default_rules,
         "k8_relabel_report": q_k8_relabel_report,
         "p8_display_name": q_p8_display_name,
         "x3_label_normalise": q_x3_label_normalise,
