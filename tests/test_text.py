@@ -31,6 +31,19 @@ def test_unicode_trim(spark):
     assert one(spark, T.unicode_trim("x"), "　\t x y \x1c\n") == "x y"
 
 
+def test_trim_set_is_python_s():
+    assert {chr(c) for c in range(0x110000) if chr(c).isspace()} == set(T.WHITESPACE) and len(T.WHITESPACE) == len(set(T.WHITESPACE))
+
+
+def test_cleaners_pass_over_the_text_once_per_step(spark):
+    rows = ["A--b\t\u00e9\u2003c 9!?", " 'x' \x0b\x1c y\u00a0", "", None]
+    df = spark.createDataFrame([(r,) for r in rows], "x string")
+    assert [r[0] for r in df.select(T.model_clean("x")).collect()] == ["ab c 9", "x y", "", None]
+    assert [r[0] for r in df.select(T.rule_clean("x")).collect()] == ["a b c 9", "x y", "", "nan"]
+    assert df.select(T.model_clean("x").alias("c"))._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 2
+    assert "regexp" not in df.select(T.unicode_trim("x").alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_cut_counts_code_points(spark):
     assert one(spark, T.cut("x", 3), "héllo") == "hél"
 
