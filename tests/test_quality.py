@@ -258,3 +258,14 @@ def test_language_filter_on_the_reference_s_case(spark):
     asked = spark.createDataFrame([(1, "The transfer has been pending for two days."), (2, "Pemindahan saya masih tertangguh."), (3, "123 !")], "review_id long, text string")
     got = {r.review_id: r.is_english for r in LANG.english_filter(profile)(asked).collect()}
     assert got == {1: True, 2: False, 3: False}
+
+
+def test_marked_keys_are_joined_by_digest(spark):
+    """No text is a join key; a null key occurs nowhere, in either table."""
+    from revtriage.operators.quality import mark_keys
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, ""), (5, "a")], "id long, clean_text string")
+    out = mark_keys(df, spark.createDataFrame([("a",), ("a",), (None,), ("",)], "clean_text string"), ["clean_text"])
+    assert {r["id"]: r["_hit"] for r in out.collect()} == {1: True, 2: False, 3: False, 4: True, 5: True}
+    keys = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    assert keys and all("clean_text" not in line for line in keys)

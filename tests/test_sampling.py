@@ -3,7 +3,9 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from revtriage.operators.rank import global_row_number, hash_order, hash_rank
+import pytest
+
+from revtriage.operators.rank import bucket_counts, global_row_number, hash_order, hash_rank, within_quota
 from revtriage.operators.sampling import balance_classes, split_quotas, stratified_folds, stratified_split
 
 
@@ -61,3 +63,25 @@ def test_global_row_number(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"))
     n = global_row_number(df, ["k"], "rn")
     assert n.where(F.col("rn") != F.col("k") + 1).count() == 0
+
+
+@pytest.mark.parametrize("quota", [0, 1, 37, 150, 299, 300, 2400, 9999])
+def test_cut_by_quota_equals_window(spark, quota):
+    """Rows whose order and tiebreak come twice, a null group, and cuts at both ends."""
+    df = skewed(spark).withColumn("label", F.when(F.col("review_id") % 50 != 7, F.col("label"))).withColumn("review_id", F.expr("review_id div 2"))
+    df = df.withColumn("_h", hash_order(42, "review_id"))
+    counts = bucket_counts(df, ["label"], "_h", digits=1)
+    quotas = counts.select("label").distinct().withColumn("quota", F.lit(quota))
+    found = within_quota(df, ["label"], "_h", ["review_id"], counts, quotas, digits=1)
+    w = Window.partitionBy("label").orderBy("_h", "review_id")
+    slow = df.where("label IS NOT NULL").withColumn("_in", F.row_number().over(w) <= quota).select("label", "review_id", "_in")
+    fast = found.select("label", "review_id", "_in")
+    assert fast.exceptAll(slow).count() == 0 and slow.exceptAll(fast).count() == 0
+
+
+def test_split_and_balance_move_one_bucket_of_a_class(spark):
+    """No text goes through a shuffle but those of the bucket that a quota cuts."""
+    for out in (stratified_split(skewed(spark), 0.2), balance_classes(skewed(spark), "label", ["text"])):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert len(moved) == 1 and "Union" in plan
