@@ -16,11 +16,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revtriage.llm.common import materialise, scratch_tables, table
+from revtriage.llm.common import free_name, materialise, scratch_tables, table, told_apart
 from revtriage.llm.exact_dedup import exact_dedup
 from revtriage.llm.ngram_join import jaccard_components
 from revtriage.llm.packing import best_fit_packing
-from revtriage.llm.pii import free_name, replace_pii
+from revtriage.llm.pii import replace_pii
 from revtriage.llm.quality import judge_quality
 
 
@@ -31,24 +31,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def _kept_by(docs: DataFrame, decide) -> DataFrame:
-    """The rows whose numbers ``decide(numbered rows, number column)`` returns.
+    """The rows that ``decide(numbered rows, number column)`` keeps; it gives each number and whether it is kept.
 
     Rows are numbered in a written copy; what the decision wrote besides its
-    numbers is removed before the texts are moved."""
+    numbers is removed before texts are moved.  Texts move only for the fewer
+    numbers, kept or dropped, and those that a bitmap takes for them; so a
+    table of few copies stays where it is."""
     row = free_name("_row", docs)
     with scratch_tables(docs.sparkSession) as drop_but:
         rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered", compression="zstd")
-        kept = materialise(decide(rows, row).select(row), "kept")
-        drop_but(rows, kept)
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+        decided = materialise(decide(rows, row), "decided")
+        drop_but(rows, decided)
+    kept, dropped = decided.where("kept").select(row), decided.where("NOT kept").select(row)
+    few = kept if kept.count() < dropped.count() else dropped
+    maybe, others = told_apart(rows, row, few, row)
+    out = maybe.join(kept, row, "left_semi") if few is kept else maybe.join(dropped, row, "left_anti").unionByName(others)
+    return out.select(*docs.columns)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept_by(docs, lambda rows, row: exact_dedup(rows, carry=row).where("kept"))
+    return _kept_by(docs, lambda rows, row: exact_dedup(rows, carry=row).select(row, "kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept_by(docs, lambda rows, row: jaccard_components(rows, id_col=row).where(F.col(row) == F.col("component_id")))
+    return _kept_by(docs, lambda rows, row: jaccard_components(rows, id_col=row).select(row, (F.col(row) == F.col("component_id")).alias("kept")))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,6 +53,9 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+#: Rows of 64 bits of the bitmap by which rows are told apart: some 10 MB when sent.
+BITMAP_WORDS = 1 << 18
+
 #: Tables that ``materialise`` wrote, innermost ``scratch_tables`` block last.
 _BLOCKS: list[list[tuple[str, DataFrame]]] = []
 
@@ -107,6 +110,32 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """``name`` with as many underscores as it takes to clash with no column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def told_apart(rows: DataFrame, col: str, wanted: DataFrame, wanted_col: str) -> tuple[DataFrame, DataFrame]:
+    """(maybe, not): the rows whose ``col`` may be among the wanted values and
+    those whose is not, by a bitmap of hashed values.  The bitmap has about 64
+    bits per value and at most ``BITMAP_WORDS`` rows of 64 bits, which is what
+    is sent to the tasks; beyond that size more rows are in the first part, and
+    a join on the value decides as before."""
+    n = wanted.count()
+    words = min(BITMAP_WORDS, 1 << max(4, (n - 1).bit_length()))
+    word_col, bits_col = free_name("_word", rows), free_name("_bits", rows)
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(64 * words))
+    word = lambda c: F.floor(place(c) / 64)
+    bit = lambda c: F.lit([1 << k if k < 63 else -(1 << 63) for k in range(64)])[(place(c) % 64).cast("int")]
+    bitmap = wanted.select(word(wanted_col).alias(word_col), bit(wanted_col).alias("_bit")).groupBy(word_col).agg(F.bit_or("_bit").alias(bits_col))
+    looked_up = rows.withColumn(word_col, word(col)).join(F.broadcast(bitmap), word_col, "left")
+    hit = F.col(bits_col).bitwiseAND(bit(col)) != 0
+    return looked_up.where(hit).select(*rows.columns), looked_up.where(F.coalesce(~hit, F.lit(True))).select(*rows.columns)
+
+
 def az_lower(text: Column) -> Column:
     """Lower-cases A-Z only: ``lower`` (a byte loop) where the text is ASCII, else ``translate``."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -60,7 +60,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, map_arrow, materialise, scratch_tables, ship_package
+from .common import free_shuffles, map_arrow, materialise, scratch_tables, ship_package, told_apart
 from .units import slices
 
 N = 5
@@ -75,8 +75,6 @@ FLUSH_DOCUMENTS = 50_000
 HUB_ROUNDS = 2
 #: Sizes of classes in one band of the join differ by this factor at most.
 BAND = 1.05
-#: Rows of 64 bits of the bitmap by which texts are left behind: some 10 MB when sent.
-BITMAP_WORDS = 1 << 18
 #: Classes of one n-gram that a tile tries against the others.
 TILE = 2000
 
@@ -288,6 +286,7 @@ def segments(sets: DataFrame, parts: int = SEGMENTS) -> DataFrame:
     them in the whole set, of which the n-grams of no other class come first."""
     rows = sets.select("_class", "n", F.explode("grams").alias("gram"))
     df = materialise(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequencies")
+    free_shuffles(sets.sparkSession)
     place = F.col("df") + (F.col("gram") / F.lit(2.0**64) + 0.5)  # order: frequency, then n-gram
     pivots = df.agg(F.percentile_approx(place, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
     part = sum((F.when(place > p, 1).otherwise(0) for p in sorted(set(pivots))), F.lit(0))
@@ -324,9 +323,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
-def class_components(sets: DataFrame, percent: int) -> DataFrame:
-    """node, label over the classes of ``sets``: label is the smallest class linked, however indirectly."""
-    segs = segments(sets)
+def class_components(segs: DataFrame, percent: int) -> DataFrame:
+    """node, label over the classes of ``segs``: label is the smallest class linked, however indirectly."""
+    spark = segs.sparkSession
     # Prefix: places 0 .. n - ceil(percent% of n) of the global order.
     last = f"(n - ({percent} * n + 99) div 100)"
     first_grams = F.expr(f"slice(grams, 1, cast(least(size(grams), {last} - before + 1) AS int))")
@@ -335,6 +334,7 @@ def class_components(sets: DataFrame, percent: int) -> DataFrame:
     own = segs.groupBy("_class").agg(F.sum(F.size("grams")).alias("n0"))
     prefix = prefix.join(own, "_class").select("gram", "_class", "n", (F.col("before") + F.col("_k")).alias("place"), (1 - alone / F.col("n")).alias("central"))
     prefix = materialise(prefix, "prefixes")
+    free_shuffles(spark)
     nodes = segs.select(F.col("_class").alias("node")).distinct()
     found = None
     labels = nodes.withColumn("label", F.col("node"))
@@ -348,8 +348,10 @@ def class_components(sets: DataFrame, percent: int) -> DataFrame:
         best = votes.groupBy(F.col("_class").alias("x")).agg(F.max_by("hub", "votes").alias("y"))
         new = materialise(links(best, segs, percent), "hub-links")
         found = new if found is None else found.unionByName(new)
+        free_shuffles(spark)
         labels = materialise(components(nodes, found), "hub-components")
     at = materialise(prefix.join(labels.select(F.col("node").alias("_class"), "label"), "_class").drop("central"), "labelled-prefixes")
+    free_shuffles(spark)
     sizes = at.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("_m"))
     major = sizes.groupBy("gram").agg(F.max_by("label", "_m").alias("major"), F.count(F.lit(1)).alias("_l")).where("_l > 1").drop("_l")
     mixed = at.join(major, "gram")
@@ -367,25 +369,10 @@ def class_components(sets: DataFrame, percent: int) -> DataFrame:
     fits = (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("nb") <= F.col("ma")) & (F.col("na") <= F.col("mb"))
     pairs = a.join(b, ["gram", "band", "tile"]).where(fits).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
     rest = materialise(links(pairs, segs, percent), "cross-links")
+    free_shuffles(spark)
     return components(nodes, found.unionByName(rest))
 
 
-def possible(rows: DataFrame, col: str, wanted: DataFrame, wanted_col: str) -> DataFrame:
-    """``rows`` without most of those whose ``col`` is not among the wanted
-    values, by a bitmap of hashed values.  The bitmap has about 64 bits per
-    value and at most ``BITMAP_WORDS`` rows of 64 bits, which is what is sent to
-    the tasks; beyond that size more rows pass, and a join on the value decides
-    as before."""
-    n = wanted.count()
-    words = min(BITMAP_WORDS, 1 << max(4, (n - 1).bit_length()))
-    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(64 * words))
-    word = lambda c: F.floor(place(c) / 64)
-    bit = lambda c: F.lit([1 << k if k < 63 else -(1 << 63) for k in range(64)])[(place(c) % 64).cast("int")]
-    bitmap = wanted.select(word(wanted_col).alias("_word"), bit(wanted_col).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    found = rows.withColumn("_word", word(col)).join(F.broadcast(bitmap), "_word")
-    return found.where(F.col("_bits").bitwiseAND(bit(col)) != 0).select(*rows.columns)
-
-
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row per document: id, n_shingles, component_id, class_size (documents with an equal set)."""
     spark = docs.sparkSession
@@ -401,11 +388,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         classes = documents_of_runs(heads).groupBy("s1", "s2").agg(F.min("_id").alias("_rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("class_size"))
         classes = materialise(classes, "classes")
         likely = materialise(classes.join(likely, ["s1", "s2"]).withColumn("_class", F.monotonically_increasing_id()), "likely-classes")
-        texts = possible(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")), "_id", likely, "_rep")
+        texts, _ = told_apart(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")), "_id", likely, "_rep")
         holders = likely.join(texts, F.col("_rep").eqNullSafe(F.col("_id")))
         sets = materialise(gram_rows(holders, n), "gram-sets")
         free_shuffles(spark)
-        labels = class_components(sets, percent)
+        segs = segments(sets)
+        drop_but(counted, classes, likely, segs)
+        labels = class_components(segs, percent)
         smallest = likely.join(labels, F.col("_class") == F.col("node")).select("s1", "s2", "_rep", "label")
         groups = smallest.groupBy("label").agg(F.min("_rep").alias("_component"))
         of_class = materialise(smallest.join(groups, "label").select("s1", "s2", "_component"), "class-components")

@@ -39,7 +39,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import free_name, materialise
 
 KEY = "surrogates"
 MAX_ATTEMPTS = 40
@@ -355,20 +355,12 @@ def found_in(text: Column) -> Column:
     return F.when(digits, all_of(ANY)).when(signs, all_of(NO_DIGITS)).when(text.rlike(_TITLE + r" [\p{Lu}\p{Ll}]"), all_of(NAMES)).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
-def free_name(name: str, df: DataFrame) -> str:
-    """``name`` with as many underscores as it takes to clash with no column."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def replace_pii(docs: DataFrame, text_col: str = "text", key: str = KEY, count_col: str = "n_entities") -> DataFrame:
     """``docs`` with the entities of the text column replaced, and their number as a last column."""
     count_col, found_col, row_col = (free_name(n, docs) for n in (count_col, "_pii_found", "_pii_row"))
     text = F.col(f"`{text_col}`")
     rows = docs.withColumn(found_col, found_in(text)).withColumn(row_col, F.monotonically_increasing_id())
-    rows = materialise(rows, "with-entities")
+    rows = materialise(rows, "with-entities", compression="zstd")
     number = F.greatest(F.coalesce(F.size(found_col), F.lit(0)), F.lit(0))  # of a null text the size is null or -1
     holders = rows.where(number > 0)
     entities = holders.select(F.col(row_col).alias("_row"), F.posexplode(found_col).alias("_pos", "raw"))

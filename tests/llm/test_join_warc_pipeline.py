@@ -242,3 +242,36 @@ def test_pipeline_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_texts_of_kept_rows_are_not_moved(spark):
+    """Where few rows go, the others stay in the order of the table; a join of all of them deals them out anew."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    prose = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randrange(1, 9) for _ in range(30)) for _ in range(300)]
+    df = frame(spark, prose + prose[:5]).coalesce(1)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for stage in (corpus_pipeline.exact_duplicates, corpus_pipeline.near_duplicates):
+            found = stage(spark, df, "")
+            got = [r["doc_id"] for r in found.collect()]
+            assert found.columns == df.columns and len(got) == len(set(got)) == 300
+            assert got[-250:] == sorted(got[-250:])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.parametrize("words", [1 << 18, 1])
+def test_rows_are_kept_whether_few_or_most_go(spark, monkeypatch, words):
+    import corpus_pipeline
+
+    from revtriage.llm import common
+
+    monkeypatch.setattr(common, "BITMAP_WORDS", words)
+    numbers = list(range(500))
+    df = frame(spark, [f"t{i}" for i in numbers]).repartition(5)
+    for share in (0, 3, 40, 97, 100):
+        found = corpus_pipeline._kept_by(df, lambda rows, row, share=share: rows.select(row, (F.col("doc_id") % 100 < share).alias("kept")))
+        assert sorted(r["doc_id"] for r in found.collect()) == [i for i in numbers if i % 100 < share]
