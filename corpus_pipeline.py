@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revtriage.llm.common import free_name, materialise, scratch_tables, table, told_apart
+from revtriage.llm.common import by_number, free_name, materialise, scratch_tables, table
 from revtriage.llm.exact_dedup import exact_dedup
 from revtriage.llm.ngram_join import jaccard_components
 from revtriage.llm.packing import best_fit_packing
@@ -34,19 +34,17 @@ def _kept_by(docs: DataFrame, decide) -> DataFrame:
     """The rows that ``decide(numbered rows, number column)`` keeps; it gives each number and whether it is kept.
 
     Rows are numbered in a written copy; what the decision wrote besides its
-    numbers is removed before texts are moved.  Texts move only for the fewer
-    numbers, kept or dropped, and those that a bitmap takes for them; so a
-    table of few copies stays where it is."""
+    numbers is removed before texts are read again.  They are told by a bitmap of
+    the fewer numbers, kept or dropped; only where that would be too large to
+    send are texts moved."""
     row = free_name("_row", docs)
     with scratch_tables(docs.sparkSession) as drop_but:
         rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered", compression="zstd")
         decided = materialise(decide(rows, row), "decided")
         drop_but(rows, decided)
     kept, dropped = decided.where("kept").select(row), decided.where("NOT kept").select(row)
-    few = kept if kept.count() < dropped.count() else dropped
-    maybe, others = told_apart(rows, row, few, row)
-    out = maybe.join(kept, row, "left_semi") if few is kept else maybe.join(dropped, row, "left_anti").unionByName(others)
-    return out.select(*docs.columns)
+    most_go = kept.count() < dropped.count()
+    return by_number(rows, row, kept if most_go else dropped, among=most_go).select(*docs.columns)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -136,6 +136,23 @@ def told_apart(rows: DataFrame, col: str, wanted: DataFrame, wanted_col: str) ->
     return looked_up.where(hit).select(*rows.columns), looked_up.where(F.coalesce(~hit, F.lit(True))).select(*rows.columns)
 
 
+def by_number(rows: DataFrame, row: str, few: DataFrame, among: bool) -> DataFrame:
+    """The rows whose number is among those of ``few``, or is not.  Both have a
+    column ``row`` of numbers as ``monotonically_increasing_id`` gives.  A bitmap
+    of these numbers is sent to the tasks, so no row moves and their order
+    stays; if it has more than ``BITMAP_WORDS`` rows, only rows that ``told_apart``
+    takes for them are joined."""
+    word_col, bits_col = free_name("_word", rows), free_name("_bits", rows)
+    bit = F.expr(f"shiftleft(1L, cast(`{row}` & 63 AS int))")
+    bitmap = few.groupBy(F.shiftright(row, 6).alias(word_col)).agg(F.bit_or(bit).alias(bits_col))
+    if bitmap.count() <= BITMAP_WORDS:
+        looked_up = rows.withColumn(word_col, F.shiftright(row, 6)).join(F.broadcast(bitmap), word_col, "left")
+        hit = F.coalesce(F.col(bits_col).bitwiseAND(bit) != 0, F.lit(False))
+        return looked_up.where(hit if among else ~hit).select(*rows.columns)
+    maybe, others = told_apart(rows, row, few, row)
+    return maybe.join(few, row, "left_semi") if among else maybe.join(few, row, "left_anti").unionByName(others)
+
+
 def az_lower(text: Column) -> Column:
     """Lower-cases A-Z only: ``lower`` (a byte loop) where the text is ASCII, else ``translate``."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
