@@ -61,7 +61,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_shuffles, map_arrow, materialise, scratch_tables, ship_package, told_apart
-from .units import slices
+from .units import hub_tokenizer, slices
 
 N = 5
 PERCENT = 75
@@ -92,6 +92,12 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
 
 
+def _forget_words() -> None:
+    """A worker serves other operators next: the memo and unused buffers are let go."""
+    _WORDS.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def gram_set(text: str | None, n: int = N) -> np.ndarray:
     """Sorted distinct hashes of the text's n-grams.  ``bytes.lower`` folds A-Z
     only and ``bytes.split`` cuts at ASCII white space only."""
@@ -139,25 +145,30 @@ def run_pieces(docs: DataFrame, id_col: str, text_col: str, n: int, fragments: i
         if not grams:
             return
         none = pa.nulls(1, pa.list_(ids.type))
-        flat, owner = np.concatenate(grams), np.repeat(np.arange(len(grams)), sizes)
-        part = ((flat >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
-        order = np.argsort(part, kind="stable")
-        bounds = np.searchsorted(part[order], np.arange(fragments + 1))
+        flat, owner = np.concatenate(grams), np.repeat(np.arange(len(grams), dtype="<u2"), sizes)
         low, tags = flat.astype("<u4"), np.frombuffer(keys, "<u8")[::2]
+        flat >>= np.uint64(32)
+        flat *= np.uint64(fragments)
+        flat >>= np.uint64(32)
+        part = flat.astype(np.uint16 if fragments <= 1 << 16 else np.uint32)
+        del flat
+        order = np.argsort(part, kind="stable")
+        bounds = np.r_[0, np.cumsum(np.bincount(part, minlength=fragments))]
         for f in range(fragments):
             mine = order[bounds[f] : bounds[f + 1]]
             if len(mine):
                 of = owner[mine]
-                yield batch_of(f, run, none, None, tags[of[np.r_[True, of[1:] != of[:-1]]]].tobytes(), None, low[mine].tobytes(), of.astype("<u2").tobytes())
+                yield batch_of(f, run, none, None, tags[of[np.r_[True, of[1:] != of[:-1]]]].tobytes(), None, low[mine].tobytes(), of.tobytes())
 
     def run(batches):
         from pyspark import TaskContext
 
+        hub_tokenizer.cache_clear()  # of packing or token files that this worker served before
         number = TaskContext.get().partitionId() << 32
         parts, slots, sets, grams, held = [], [], {}, [], 0
         for batch in batches:
             for first, texts in slices(batch, 1):
-                parts.append(batch.column(0).slice(first, len(texts)))
+                parts.append(batch.column(0).take(pa.array(np.arange(first, first + len(texts)))))  # a slice would hold the texts
                 for t in texts:
                     s = gram_set(t, n)
                     slot = -1
@@ -174,6 +185,7 @@ def run_pieces(docs: DataFrame, id_col: str, text_col: str, n: int, fragments: i
                     parts, slots, sets, grams, held = [], [], {}, [], 0
         if parts:
             yield from cut(number, parts, slots, sets, grams)
+        _forget_words()
 
     return map_arrow(src, run, f"fragment long, run long, ids array<{id_type}>, slots binary, keys binary, sizes binary, grams binary, owners binary")
 
@@ -183,21 +195,29 @@ def shared_in_fragment(pieces: pa.Table) -> pa.Table:
     with another class (``owners``), and how many (``grams``).  Heads pass."""
     if pieces["fragment"][0].as_py() < 0:
         return pieces
-    grams = [np.frombuffer(g, "<u4") for g in pieces["grams"].to_pylist()]
-    owners = [np.frombuffer(o, "<u2") for o in pieces["owners"].to_pylist()]
-    tags = [np.repeat(np.frombuffer(k, "<u8"), np.diff(np.flatnonzero(np.r_[True, o[1:] != o[:-1], True]))) for k, o in zip(pieces["keys"].to_pylist(), owners, strict=True)]
-    flat, tag = np.concatenate(grams), np.concatenate(tags)
-    order = np.argsort(flat, kind="stable")
-    starts = np.flatnonzero(np.r_[True, np.diff(flat[order]) != 0])
-    sizes = np.diff(np.r_[starts, len(order)])
-    tag = tag[order]
-    several = np.logical_or.reduceat(tag != np.repeat(tag[starts], sizes), starts)
-    shared = np.zeros(len(flat), bool)
-    shared[order] = np.repeat(several, sizes)
-    kept, counts, at = [], [], 0
-    for o in owners:
-        found, n = np.unique(o[shared[at : at + len(o)]], return_counts=True)
-        at += len(o)
+    grams = [np.frombuffer(g.as_buffer(), "<u4") for g in pieces["grams"]]
+    owners = [np.frombuffer(o.as_buffer(), "<u2") for o in pieces["owners"]]
+    keys = [np.frombuffer(k.as_buffer(), "<u8") for k in pieces["keys"]]
+    # Each n-gram with the number of its class, sorted: one after another with another class is shared.
+    _, numbers = np.unique(np.concatenate(keys), return_inverse=True)
+    ends = np.cumsum([len(k) for k in keys])
+    held, at = np.empty(sum(map(len, grams)), np.uint64), 0
+    for g, o, end, k in zip(grams, owners, ends, keys, strict=True):
+        mine = held[at : at + len(g)]
+        mine[:] = g
+        mine <<= np.uint64(32)
+        mine |= np.repeat(numbers[end - len(k) : end], np.diff(np.flatnonzero(np.r_[True, o[1:] != o[:-1], True]))).astype(np.uint64)
+        at += len(g)
+    held.sort()
+    gram = (held >> np.uint64(32)).astype("<u4")
+    several = np.unique(gram[1:][(gram[1:] == gram[:-1]) & (held[1:] != held[:-1])])
+    del held, gram
+    kept, counts = [], []
+    for g, o in zip(grams, owners, strict=True):
+        place = np.searchsorted(several, g)
+        place[place == len(several)] = 0
+        shared = several[place] == g if len(several) else np.zeros(len(g), bool)
+        found, n = np.unique(o[shared], return_counts=True)
         kept.append(found.astype("<u2").tobytes())
         counts.append(n.astype("<u4").tobytes())
     out = {c: pa.nulls(len(pieces), pieces.schema.field(c).type) for c in _RUN_COLUMNS}
@@ -276,6 +296,7 @@ def gram_rows(holders: DataFrame, n: int) -> DataFrame:
                         rows.append((batch.column(0)[i].as_py(), len(s), s.astype(np.int64)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["_class", "n", "grams"])
+        _forget_words()
 
     return map_arrow(holders.select("_class", "s1", "s2", "_t"), run, "_class long, n long, grams array<long>").dropDuplicates(["_class"])
 

@@ -144,7 +144,7 @@ class HubTokenizer:
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.folds = "Lowercase" in repr(self.lib.normalizer)
         self.alphabet = byte_alphabet()
-        self.words = Memo(self._ask, cap=400_000)
+        self.words = Memo(self._ask, cap=100_000)  # most are asked once, as ``rest`` has them from then on
         self.first = Memo(lambda units: self._simplified("", units), cap=100_000)
         self.rest = Memo(lambda units: self._simplified(" ", units), cap=400_000)
 
@@ -155,14 +155,17 @@ class HubTokenizer:
         out: list = [None] * len(texts)
         whole = []
         tokenize, alphabet, folds, space = self.lib.model.tokenize, self.alphabet, self.folds, chr(self.alphabet[0x20])
-        for i, text in enumerate(texts):
-            lead = text[:1] == " "
-            word = text[1:] if lead else text
-            if word.isalpha() and (word.isascii() or max(word) < _LAST_PLAIN) and not (folds and word != word.lower()):
-                symbols = word if folds else space + word if lead else word
-                if not word.isascii():
-                    symbols = (word if folds else text).encode().decode("latin-1").translate(alphabet)
-                out[i] = array("I", [t.id for t in tokenize(symbols)]).tobytes()
+        column = pa.array(texts, pa.string())
+        plain = pc.match_substring_regex(column, "^ ?[a-z]+$" if folds else "^ ?[A-Za-z]+$")
+        symbols = pc.utf8_ltrim(column, " ") if folds else pc.replace_substring(column, " ", space, max_replacements=1)
+        for i, symbol in zip(np.flatnonzero(plain).tolist(), symbols.filter(plain).to_pylist(), strict=True):
+            out[i] = array("I", [t.id for t in tokenize(symbol)]).tobytes()
+        for i in np.flatnonzero(pc.invert(plain)).tolist():
+            text = texts[i]
+            word = text[1:] if text[:1] == " " else text
+            if word.isalpha() and max(word) < _LAST_PLAIN and not (folds and word != word.lower()):
+                symbol = (word if folds else text).encode().decode("latin-1").translate(alphabet)
+                out[i] = array("I", [t.id for t in tokenize(symbol)]).tobytes()
             else:
                 whole.append(i)
         if whole:
@@ -188,8 +191,7 @@ class HubTokenizer:
             word = pc.if_else(pc.and_(plain, pc.string_is_ascii(word)), pc.ascii_lower(word), word)
         words, plain, marked = (c.to_numpy(zero_copy_only=False).tolist() for c in (word, plain, marked))
         others = {i: self._parts(lead, units[i]) for i, simple in enumerate(plain) if not simple}
-        asked = list({lead + w for w, simple in zip(words, plain, strict=True) if simple}.union(_MARKS, *others.values()))
-        known = dict(zip(asked, self.words.answers(asked), strict=True))
+        known = self.words.learn({lead + w for w, simple in zip(words, plain, strict=True) if simple}.union(_MARKS, *others.values()))
         out = [known[lead + w] + known[u[-1]] if m else known[lead + w] if simple else b"" for u, w, simple, m in zip(units, words, plain, marked, strict=True)]
         for i, parts in others.items():
             out[i] = b"".join([known[w] for w in parts])

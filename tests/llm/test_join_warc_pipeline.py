@@ -5,8 +5,11 @@ import io
 import math
 import random
 import re
+import tracemalloc
 import zipfile
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -275,3 +278,43 @@ def test_rows_are_kept_whether_few_or_most_go(spark, monkeypatch, words):
     for share in (0, 3, 40, 97, 100):
         found = corpus_pipeline._kept_by(df, lambda rows, row, share=share: rows.select(row, (F.col("doc_id") % 100 < share).alias("kept")))
         assert sorted(r["doc_id"] for r in found.collect()) == [i for i in numbers if i % 100 < share]
+
+
+def _fragment(rng, runs, n, n_grams, n_classes):
+    """Pieces of one fragment, as runs send them, and their (class, n-gram) by run."""
+    rows, plain = [], []
+    for run in range(runs):
+        owner = np.unique(rng.integers(0, n // 20 + 1, n), return_inverse=True)[1]
+        owner.sort()
+        keys, grams = rng.choice(n_classes, owner[-1] + 1, replace=False).astype("<u8"), rng.integers(0, n_grams, n).astype("<u4")
+        rows.append({"fragment": 0, "run": run, "keys": keys.tobytes(), "grams": grams.tobytes(), "owners": owner.astype("<u2").tobytes()})
+        plain.append(list(zip(owner.tolist(), keys[owner].tolist(), grams.tolist(), strict=True)))
+    schema = pa.schema([(c, pa.int64() if c in ("fragment", "run") else pa.list_(pa.int64()) if c == "ids" else pa.binary()) for c in ngram_join._RUN_COLUMNS])
+    return pa.Table.from_pylist(rows, schema=schema), plain
+
+
+@pytest.mark.parametrize("runs, n, n_grams, n_classes", [(1, 30, 5, 40), (3, 200, 300, 60), (4, 50, 2**32 - 1, 90), (5, 1, 2, 3)])
+def test_shared_in_fragment_against_plain_counts(runs, n, n_grams, n_classes):
+    table, plain = _fragment(np.random.default_rng(5), runs, n, n_grams, n_classes)
+    holders = {}
+    for key, gram in ((k, g) for p in plain for _, k, g in p):
+        holders.setdefault(gram, set()).add(key)
+    want = {}
+    for run, p in enumerate(plain):
+        for slot, _, gram in p:
+            if len(holders[gram]) > 1:
+                want.setdefault(run, Counter())[slot] += 1
+    got = {}
+    for r in ngram_join.shared_in_fragment(table).to_pylist():
+        got[r["run"]] = dict(zip(np.frombuffer(r["owners"], "<u2").tolist(), np.frombuffer(r["grams"], "<u4").tolist(), strict=True))
+    assert got == want
+
+
+def test_fragment_takes_few_bytes_per_gram():
+    table, _ = _fragment(np.random.default_rng(6), 10, 40_000, 10**7, 10**5)
+    ngram_join.shared_in_fragment(table.slice(0, 1))
+    tracemalloc.start()
+    ngram_join.shared_in_fragment(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * 400_000

@@ -193,3 +193,12 @@ def test_empty_tables(spark, run):
 
 def test_empty_token_files(spark):
     assert dac.token_files(spark, frame(spark, [])).count() == 0
+
+
+def test_words_asked_once_are_not_kept_for_long():
+    tok = HubTokenizer("byte_bpe_50k.json")
+    letters = "abcdefghijklmnop"
+    for k in range(12):
+        words = ["".join(letters[(i >> s) & 15] for s in (0, 4, 8, 12)) + letters[k] * 3 for i in range(25_000)]
+        assert tok.encode([" ".join(words)]) == tok.encode([" ".join(words)])
+    assert len(tok.words.new) + len(tok.words.old) < 260_000
